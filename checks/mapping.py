@@ -107,17 +107,20 @@ def raw_transactions(spark: SparkSession, d: str, dirty: bool = False) -> DataFr
     )
 
 
-def graph(spark: SparkSession, d: str) -> GraphTables:
-    """The clean graph. The account table is staged: questions need it several times."""
+# Questions need the account table several times; writing all tables needs both.
+FOR_QUESTIONS = ("accounts",)
+FOR_WRITING = ("accounts", "transactions")
+
+
+def graph(spark: SparkSession, d: str, staged: tuple[str, ...] = FOR_QUESTIONS) -> GraphTables:
     return build_graph(
-        raw_accounts(spark, d), raw_transactions(spark, d), money="decimal", staged=("accounts",))
+        raw_accounts(spark, d), raw_transactions(spark, d), money="decimal", staged=staged)
 
 
-def dirty_graph(spark: SparkSession, d: str) -> GraphTables:
+def dirty_graph(spark: SparkSession, d: str, staged: tuple[str, ...] = FOR_QUESTIONS) -> GraphTables:
     """Dirty transactions against an account table that lacks every 25th customer."""
     built = build_graph(
-        known_accounts(spark, d), raw_transactions(spark, d, dirty=True),
-        money="decimal", staged=("accounts",))
+        known_accounts(spark, d), raw_transactions(spark, d, dirty=True), money="decimal", staged=staged)
     known = built.accounts.filter(F.col("entity_id").isNotNull())
     return built.with_(accounts=known)
 

@@ -102,21 +102,27 @@ def node_keys(graph_tables: dict[str, DataFrame], end: str, table: str) -> DataF
 
 
 def load_graph(
-    incoming: dict[str, DataFrame], existing: dict[str, DataFrame] | None = None
+    incoming: dict[str, DataFrame], path: str, existing: dict[str, DataFrame] | None = None
 ) -> dict[str, DataFrame]:
-    """Load the eight exported tables on top of stored ones (or of nothing).
+    """Load the eight exported tables on top of stored ones (or of nothing) into a new version.
 
-    Node frames carry ``load_seq``. The result has the same eight names; transactions have their
-    stored properties only, see ``as_graph`` for the form the retrieval functions take.
+    Node frames carry ``load_seq``. Nodes are written first; edges are then checked against what
+    was written. Returns the tables as read back from ``path``. Transactions have their stored
+    properties only, see ``as_graph`` for the form the retrieval functions take.
     """
     existing = existing or {}
     loaded: dict[str, DataFrame] = {}
+
+    def keep(table: str, df: DataFrame) -> None:
+        df.write.parquet(f"{path}/{table}")
+        loaded[table] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{table}")
+
     for table, types in NODE_TYPES.items():
         rows = typed_nodes(table, incoming[table])
-        loaded[table] = upsert_nodes(existing.get(table), rows, next(iter(types)))
+        keep(table, upsert_nodes(existing.get(table), rows, next(iter(types))))
     for table, (_, ends) in EDGE_ENDS.items():
         sides = [node_keys(loaded, end, nodes) for end, nodes in ends]
-        loaded[table] = merge_edges(existing.get(table), typed_edges(table, incoming[table]), *sides)
+        keep(table, merge_edges(existing.get(table), typed_edges(table, incoming[table]), *sides))
     return loaded
 
 
