@@ -12,7 +12,7 @@ from checks.registry import check
 from checks.sql import ACC, DIRTY, GRAPH, RAW, with_
 from remitgraph.operators import export, load
 from remitgraph.plans.staging import shared_folder
-from remitgraph.plans.tables import NODE_KEYS, RAW_TRANSACTION_HEADINGS
+from remitgraph.plans.tables import EDGE_ENDS, NODE_KEYS, RAW_TRANSACTION_HEADINGS
 from remitgraph.sources import files, sampling, store
 
 
@@ -131,8 +131,18 @@ WHERE from_account_key IN (SELECT account_key FROM node)""",
     "received_by": """SELECT DISTINCT transaction_id, to_account_key AS account_key FROM tx
 WHERE to_account_key IN (SELECT account_key FROM node)""",
 }
+
+
+def merged(spark, d, table):
+    graph = m.dirty_graph(spark, d)
+    rows = load.typed_edges(table, export.export_frames(graph, order=None)[table])
+    tables = dict(graph.items())
+    sides = [load.node_keys(tables, end, node) for end, node in EDGE_ENDS[table][1]]
+    return load.merge_edges(None, rows, *sides)
+
+
 for _i, (_table, _sql) in enumerate(LOADED.items()):
-    check(f"l{_i + 5}_merge_{_table}", DIRTY + _sql)(lambda s, d, t=_table: loaded(s, d)[t])
+    check(f"l{_i + 5}_merge_{_table}", DIRTY + _sql)(lambda s, d, t=_table: merged(s, d, t))
 
 check("l9_graph_counts", DIRTY + " UNION ALL ".join([
     "SELECT 'node' AS kind, 'Account' AS name, count(DISTINCT account_key) AS rows FROM node",

@@ -11,7 +11,8 @@ from pyspark.sql.types import NumericType
 from remitgraph.plans.staging import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
-SLICES = 1000  # value ranges an exact quantile is searched in
+FAN_OUT = 32
+SLICES = FAN_OUT * FAN_OUT  # value ranges an exact quantile is searched in
 
 
 def shapes(tables: dict[str, DataFrame]) -> DataFrame:
@@ -79,8 +80,15 @@ def quantiles(long_form: DataFrame, shares: tuple[float, ...]) -> DataFrame:
         histogram.groupBy("column_name").agg(F.percentile_approx("value", steps, 10_000).alias("cuts")),
         "cuts",
     )
-    below = F.size(F.filter("cuts", lambda cut: cut < F.col("value")))
-    sliced = histogram.join(F.broadcast(cuts), "column_name").withColumn("slice", below).drop("cuts")
+    def cuts_below(part: Column) -> Column:
+        return F.size(F.filter(part, lambda cut: cut < F.col("value")))
+
+    # Two steps of about FAN_OUT comparisons: first among every FAN_OUT-th cut, then in between.
+    coarse = cuts_below(F.transform(
+        F.sequence(F.lit(FAN_OUT), F.lit(SLICES - 1), F.lit(FAN_OUT)), lambda i: F.get("cuts", i - 1)))
+    fine = cuts_below(F.slice("cuts", F.col("coarse") * FAN_OUT + 1, F.lit(FAN_OUT - 1)))
+    sliced = histogram.join(F.broadcast(cuts), "column_name").withColumn("coarse", coarse)
+    sliced = sliced.withColumn("slice", F.col("coarse") * FAN_OUT + fine).drop("cuts", "coarse")
 
     # At most SLICES rows per column: running totals over them are cheap.
     per_slice = sliced.groupBy("column_name", "slice").agg(F.sum("copies").alias("n"))
