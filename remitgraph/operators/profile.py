@@ -11,8 +11,6 @@ from pyspark.sql.types import NumericType
 from remitgraph.plans.staging import stage
 
 QUARTILES = (0.25, 0.5, 0.75)
-FAN_OUT = 32
-SLICES = FAN_OUT * FAN_OUT  # value ranges an exact quantile is searched in
 
 
 def shapes(tables: dict[str, DataFrame]) -> DataFrame:
@@ -49,8 +47,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """Per numeric column: count, mean, sample deviation, min, exact quartiles, max.
 
     Quartiles interpolate between the two neighbouring values. They are exact without holding a
-    column in one place: values are reduced to (value, copies), cut into ``SLICES`` ranges, and
-    only the ranges that contain a wanted rank are ordered.
+    column in one place, see ``quantiles``.
     """
     names = columns or [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
     long_form = df.select(F.inline(F.array(*[
@@ -67,32 +64,23 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def quantiles(long_form: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """Exact interpolated quantiles ``q0, q1, ...`` per ``column_name`` of ``value``."""
-    steps = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    """Exact interpolated quantiles ``q0, q1, ...`` per ``column_name`` of ``value``.
+
+    The histogram is written in global order, so every file is a run of neighbouring values.
+    Rows are counted per file, and only the files that hold a wanted rank are looked into.
+    """
     histogram = stage(
         long_form.filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value").agg(F.count("*").alias("copies")),
+        .groupBy("column_name", "value").agg(F.count("*").alias("copies"))
+        .orderBy("column_name", "value"),
         "histogram",
     )
-    # The cut points only steer how the work is divided, so an estimate is enough for them. They
-    # are staged so that both uses below see the same ones.
-    cuts = stage(
-        histogram.groupBy("column_name").agg(F.percentile_approx("value", steps, 10_000).alias("cuts")),
-        "cuts",
-    )
-    def cuts_below(part: Column) -> Column:
-        return F.size(F.filter(part, lambda cut: cut < F.col("value")))
-
-    # Two steps of about FAN_OUT comparisons: first among every FAN_OUT-th cut, then in between.
-    coarse = cuts_below(F.transform(
-        F.sequence(F.lit(FAN_OUT), F.lit(SLICES - 1), F.lit(FAN_OUT)), lambda i: F.get("cuts", i - 1)))
-    fine = cuts_below(F.slice("cuts", F.col("coarse") * FAN_OUT + 1, F.lit(FAN_OUT - 1)))
-    sliced = histogram.join(F.broadcast(cuts), "column_name").withColumn("coarse", coarse)
-    sliced = sliced.withColumn("slice", F.col("coarse") * FAN_OUT + fine).drop("cuts", "coarse")
-
-    # At most SLICES rows per column: running totals over them are cheap.
-    per_slice = sliced.groupBy("column_name", "slice").agg(F.sum("copies").alias("n"))
-    by_slice = Window.partitionBy("column_name").orderBy("slice")
+    sliced = histogram.withColumn("slice", F.col("_metadata.file_path"))
+
+    # One row per column and file: running totals over them are cheap.
+    per_slice = sliced.groupBy("column_name", "slice").agg(
+        F.sum("copies").alias("n"), F.min("value").alias("start"))
+    by_slice = Window.partitionBy("column_name").orderBy("start")
     whole = Window.partitionBy("column_name")
     per_slice = per_slice.select(
         "column_name", "slice", (F.sum("n").over(by_slice) - F.col("n")).alias("before"), "n",
@@ -108,7 +96,7 @@ def quantiles(long_form: DataFrame, shares: tuple[float, ...]) -> DataFrame:
         )),
     ).filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
 
-    # Only the slices that hold a wanted rank are ordered, each in its own task.
+    # At most two files per share and column are wanted, so these are small enough to broadcast.
     slices = wanted.select("column_name", "slice", "before").distinct()
     inside = Window.partitionBy("column_name", "slice").orderBy("value")
     located = sliced.join(F.broadcast(slices), ["column_name", "slice"]).select(

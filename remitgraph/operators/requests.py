@@ -78,7 +78,8 @@ def relationship_evidence(
     hits = hits.join(pairs, [
         hits.sender_entity_name == pairs.from_name, hits.receiver_entity_name == pairs.to_name])
     order = r.time_order("sender_entity_id", "receiver_entity_id")
-    first = top_per_group(hits, ["from_name", "to_name"], order, limit)
+    # Used twice below; at most ``limit`` rows per pair asked about.
+    first = stage(top_per_group(hits, ["from_name", "to_name"], order, limit), "first-of-pairs")
 
     def use(forward: bool) -> DataFrame:
         names = ["source_entity_name", "target_entity_name"]
@@ -94,13 +95,11 @@ def laundering_evidence(
 ) -> DataFrame:
     """Labelled transfers of every named entity asked about, capped per direction."""
     asked = _valid(requests, LAUNDERING, "entity_name").select(
-        "request_id", F.col("entity_name").alias("subject_entity_name"))
-    names = stage(asked.select(F.col("subject_entity_name").alias("entity_name")).distinct(), "asked-names")
-    subjects = _accounts_of(graph, names)
-    subjects = stage(subjects.join(r.account_banks(graph), "account_key"), "subjects")
-    paths = r.laundering_paths(graph, subjects)
-    first = r.first_laundering_rows(graph, paths, ["subject_entity_name", "direction"], limit)
-    return first.join(asked, "subject_entity_name").select("request_id", *r.LAUNDERING_COLUMNS)
+        "request_id", F.col("entity_name").alias("searched_entity"))
+    names = asked.select(F.col("searched_entity").alias("entity_name")).distinct()
+    paths = r.laundering_paths(graph, _accounts_of(graph, names))
+    first = r.first_laundering_rows(graph, paths, limit)
+    return first.join(asked, "searched_entity").select("request_id", *r.LAUNDERING_COLUMNS)
 
 
 def top_sender_evidence(graph: GraphTables, requests: DataFrame) -> DataFrame:

@@ -147,7 +147,9 @@ def _limited(
     if mode == "combined":
         return rows.orderBy(*final).limit(limit)
     if mode == "per_branch":
-        return top_per_group(rows, ["direction"], order, limit).drop("row_number").orderBy(*final)
+        # Two directions of at most ``limit`` rows: the bound makes the last step a top-k.
+        first = top_per_group(rows, ["direction"], order, limit).drop("row_number")
+        return first.orderBy(*final).limit(2 * limit)
     first = rows.filter(F.col("direction") == branches[0])
     last = rows.filter(F.col("direction") == branches[1]).orderBy(*order).limit(limit)
     return first.unionByName(last).orderBy(*final)
@@ -191,29 +193,41 @@ def subject_sides(rows: DataFrame) -> DataFrame:
 
 
 def laundering_paths(graph: GraphTables, subjects: DataFrame) -> DataFrame:
-    """Labelled transfers of the subjects, one row per direction, before the counterparty.
+    """Labelled transfers of the subjects, one row per direction, before banks and counterparty.
 
-    ``subjects`` holds ``account_key, entity_id, entity_name, bank_name``.
+    ``subjects`` holds ``account_key, entity_id, entity_name``.
     """
     sides = subject_sides(labelled(graph))
     s = prefixed(subjects, "subject")
     return sides.join(s, F.col("subject_account") == F.col("subject_account_key"))
 
 
-def attach_counterparty(graph: GraphTables, paths: DataFrame) -> DataFrame:
-    """Add owner and bank of the other side; yields the result columns."""
-    other, bank = prefixed(owners(graph), "other"), prefixed(account_banks(graph), "bank")
-    joined = paths.join(other, F.col("other_account") == F.col("other_account_key")).join(
-        bank, F.col("other_account") == F.col("bank_account_key")
-    ).filter(~(
-        (F.col("subject_account") == F.col("other_account"))
-        & (F.col("subject_entity_id") == F.col("other_entity_id"))
-    ))
+def attach_parties(graph: GraphTables, paths: DataFrame, few: bool = False) -> DataFrame:
+    """Add both banks and the owner of the other side; yields the result columns.
+
+    With ``few`` (a staged, small set of paths) the account lookups are first reduced to the
+    accounts on the paths, by a semi join that only scans them: nothing of their size is shuffled.
+    """
+    other, banks = owners(graph), account_banks(graph)
+    if few:
+        sides = [paths.select(F.col(n).alias("account_key")) for n in ("other_account", "subject_account")]
+        other = other.join(sides[0], "account_key", "left_semi")
+        banks = banks.join(sides[0].unionByName(sides[1]), "account_key", "left_semi")
+    other, bank, own_bank = prefixed(other, "other"), prefixed(banks, "bank"), prefixed(banks, "own")
+    joined = (
+        paths.join(other, F.col("other_account") == F.col("other_account_key"))
+        .join(bank, F.col("other_account") == F.col("bank_account_key"))
+        .join(own_bank, F.col("subject_account") == F.col("own_account_key"))
+        .filter(~(
+            (F.col("subject_account") == F.col("other_account"))
+            & (F.col("subject_entity_id") == F.col("other_entity_id"))
+        ))
+    )
     return joined.select(
         F.col("subject_entity_id").alias("searched_entity_id"),
         F.col("subject_entity_name").alias("searched_entity"),
         "direction", "transaction_id", "timestamp", "amount", "currency", "payment_format",
-        F.col("subject_bank_name").alias("searched_entity_bank"),
+        F.col("own_bank_name").alias("searched_entity_bank"),
         F.col("other_entity_id").alias("counterparty_id"),
         F.col("other_entity_name").alias("counterparty"),
         F.col("bank_bank_name").alias("counterparty_bank"),
@@ -224,52 +238,38 @@ def attach_counterparty(graph: GraphTables, paths: DataFrame) -> DataFrame:
 LAUNDERING_TIES = [
     "searched_entity_id", "counterparty_id", "searched_entity_bank", "counterparty_bank",
 ]
+LAUNDERING_GROUP = ["searched_entity", "direction"]
 _LOOK_AHEAD = 4  # transfers looked at per wanted row before the whole set is joined
 
 
-def first_laundering_rows(
-    graph: GraphTables, paths: DataFrame, group: list[str], limit: int
-) -> DataFrame:
-    """The first ``limit`` result rows per group, with ``row_number``; exact.
+def first_laundering_rows(graph: GraphTables, paths: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` result rows per searched name and direction; exact.
 
     Only the earliest few transfers of a group are joined to the account tables. A group is done
     when that gave enough rows, or when the group had no more transfers than were looked at. The
     remaining groups, if any, are joined in full.
     """
-    look = limit * _LOOK_AHEAD
-    by_time = time_order(
-        "subject_account", "other_account", "subject_entity_id", "subject_bank_name")
-    ahead = stage(top_per_group(paths, group, by_time, look), "paths")
+    group, look = LAUNDERING_GROUP, limit * _LOOK_AHEAD
+    named = F.col("subject_entity_name")
+    by_time = time_order("subject_account", "other_account", "subject_entity_id")
+    ahead = stage(top_per_group(paths.withColumn(group[0], named), group, by_time, look), "paths")
     order = time_order(*LAUNDERING_TIES)
 
-    # A transfer beyond the look-ahead may tie with the last one inside it only in its id, so
-    # results with that last id are left to the full join.
-    edge = ahead.filter(F.col("row_number") == look).select(
-        *group, F.struct(F.col("timestamp").isNull(), "timestamp", "transaction_id").alias("edge"))
-    quick = attach_groups(graph, ahead, group).join(edge, group, "left").filter(
-        F.col("edge").isNull()
-        | (F.struct(F.col("timestamp").isNull(), "timestamp", "transaction_id") < F.col("edge"))
-    ).drop("edge")
-    quick = stage(top_per_group(quick, group, order, limit), "quick")
+    # Results are sure up to, not including, the time and id of the last transfer looked at.
+    at = F.struct(F.col("timestamp").isNull(), "timestamp", "transaction_id")
+    edge = ahead.filter(F.col("row_number") == look).select(*group, at.alias("edge"))
+    sure = attach_parties(graph, ahead.drop("row_number", group[0]), few=True).join(edge, group, "left")
+    sure = sure.filter(F.col("edge").isNull() | (at < F.col("edge"))).drop("edge")
+    quick = stage(top_per_group(sure, group, order, limit), "evidence")
+
     full = quick.filter(F.col("row_number") == limit).select(*group)
-    left_over = stage(edge.select(*group).join(full, group, "left_anti"), "groups")
+    left_over = edge.select(*group).join(full, group, "left_anti")
     if left_over.isEmpty():
-        return quick
-    rest = attach_groups(graph, paths.join(left_over, group, "left_semi"), group)
-    rest = top_per_group(rest, group, order, limit)
-    return quick.join(left_over, group, "left_anti").unionByName(rest)
-
-
-def attach_groups(graph: GraphTables, paths: DataFrame, group: list[str]) -> DataFrame:
-    """Result rows that still carry the group columns."""
-    renamed = {"subject_entity_name": "searched_entity", "direction": "direction"}
-    rows = attach_counterparty(graph, paths)
-    return rows.withColumns({g: F.col(renamed[g]) for g in group if g not in rows.columns})
-
-
-def subjects_with_bank(graph: GraphTables, names: list[str]) -> DataFrame:
-    found = named_accounts(graph, names)
-    return stage(found.join(account_banks(graph), "account_key"), "subjects")
+        return quick.drop("row_number")
+    left_over = stage(left_over, "groups")
+    again = paths.withColumn(group[0], named).join(left_over, group, "left_semi").drop(group[0])
+    rest = top_per_group(attach_parties(graph, again), group, order, limit)
+    return quick.join(left_over, group, "left_anti").unionByName(rest).drop("row_number")
 
 
 def labelled(graph: GraphTables) -> DataFrame:
@@ -281,12 +281,11 @@ def entity_laundering(
     limit: int | None = MAX_ROWS, limit_mode: str = "per_branch",
 ) -> DataFrame:
     """Labelled transfers out of and into one named entity, with counterparty and both banks."""
-    paths = laundering_paths(graph, subjects_with_bank(graph, [name]))
+    paths = laundering_paths(graph, named_accounts(graph, [name]))
     if limit is not None and limit_mode == "per_branch":
-        rows = first_laundering_rows(graph, paths, ["direction"], limit).select(*LAUNDERING_COLUMNS)
-        limit = None
+        rows = first_laundering_rows(graph, paths, limit)
     else:
-        rows = attach_counterparty(graph, paths)
+        rows = attach_parties(graph, paths)
     return _limited(rows, (OUTGOING, INCOMING), LAUNDERING_TIES, limit, limit_mode)
 
 
