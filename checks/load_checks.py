@@ -293,5 +293,5 @@ def s10(spark, d):
 @check("s11_stored_graph", GRAPH + """
 SELECT *, 'Transaction' AS label FROM tx""")
 def s11(spark, d):
-    stored = store.write_graph(m.graph(spark, d, m.FOR_WRITING), fresh_folder(spark), buckets=8)
+    stored = store.write_graph(m.graph(spark, d), fresh_folder(spark), buckets=8, derive_edges=True)
     return stored.transactions.drop("sender_bucket")

@@ -121,6 +121,7 @@ def answer_requests(graph: GraphTables, requests: DataFrame) -> DataFrame:
     ``row_number`` counts the rows of a request in their final order. An invalid request gives one
     row with ``error`` set; an unsupported one, or one without matches, gives none.
     """
+    requests = stage(requests, "requests")
     parts = {
         RELATIONSHIP: relationship_evidence(graph, requests),
         LAUNDERING: laundering_evidence(graph, requests),

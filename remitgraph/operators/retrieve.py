@@ -12,11 +12,13 @@ other (``subject_transactions``, ``pair_transactions``, the sender counts) it do
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
-from remitgraph.plans.staging import both_ways, stage, top_per_group
+from remitgraph.plans.staging import both_ways, settle, stage, top_per_group
 from remitgraph.plans.tables import OWNS, RECEIVED_BY, SENT, GraphTables
 
 MAX_ROWS = 50
@@ -70,12 +72,12 @@ def account_banks(graph: GraphTables) -> DataFrame:
 
 
 def named_accounts(graph: GraphTables, names: list[str], any_case: bool = False) -> DataFrame:
-    """Staged accounts of all entities that bear one of the names."""
+    """Accounts of all entities that bear one of the names, evaluated once."""
     if any_case:
         wanted = F.lower("entity_name").isin([n.lower() for n in names])
     else:
         wanted = F.col("entity_name").isin(names)
-    return stage(owners(graph).filter(wanted), "named-accounts")
+    return settle(owners(graph).filter(wanted), "named-accounts")
 
 
 def sender_bucket(account_key: Column | str, buckets: int) -> Column:
@@ -84,7 +86,7 @@ def sender_bucket(account_key: Column | str, buckets: int) -> Column:
 
 
 def transfers_sent_by(graph: GraphTables, accounts: DataFrame) -> DataFrame:
-    """Transfers that may have been sent by one of the (staged) accounts.
+    """Transfers that may have been sent by one of the (evaluated) accounts.
 
     Of a stored graph only the buckets of those accounts are read; there are never more buckets
     than the graph was stored with, so their numbers can be listed in the filter.
@@ -242,17 +244,19 @@ LAUNDERING_GROUP = ["searched_entity", "direction"]
 _LOOK_AHEAD = 4  # transfers looked at per wanted row before the whole set is joined
 
 
-def first_laundering_rows(graph: GraphTables, paths: DataFrame, limit: int) -> DataFrame:
+def first_laundering_rows(
+    graph: GraphTables, paths: DataFrame, limit: int, keep: Callable[..., DataFrame] = stage
+) -> DataFrame:
     """The first ``limit`` result rows per searched name and direction; exact.
 
     Only the earliest few transfers of a group are joined to the account tables. A group is done
     when that gave enough rows, or when the group had no more transfers than were looked at. The
-    remaining groups, if any, are joined in full.
+    remaining groups, if any, are joined in full. ``keep`` evaluates what is looked at.
     """
     group, look = LAUNDERING_GROUP, limit * _LOOK_AHEAD
     named = F.col("subject_entity_name")
     by_time = time_order("subject_account", "other_account", "subject_entity_id")
-    ahead = stage(top_per_group(paths.withColumn(group[0], named), group, by_time, look), "paths")
+    ahead = keep(top_per_group(paths.withColumn(group[0], named), group, by_time, look), "paths")
     order = time_order(*LAUNDERING_TIES)
 
     # Results are sure up to, not including, the time and id of the last transfer looked at.
@@ -260,7 +264,7 @@ def first_laundering_rows(graph: GraphTables, paths: DataFrame, limit: int) -> D
     edge = ahead.filter(F.col("row_number") == look).select(*group, at.alias("edge"))
     sure = attach_parties(graph, ahead.drop("row_number", group[0]), few=True).join(edge, group, "left")
     sure = sure.filter(F.col("edge").isNull() | (at < F.col("edge"))).drop("edge")
-    quick = stage(top_per_group(sure, group, order, limit), "evidence")
+    quick = keep(top_per_group(sure, group, order, limit), "evidence")
 
     full = quick.filter(F.col("row_number") == limit).select(*group)
     left_over = edge.select(*group).join(full, group, "left_anti")
@@ -283,7 +287,7 @@ def entity_laundering(
     """Labelled transfers out of and into one named entity, with counterparty and both banks."""
     paths = laundering_paths(graph, named_accounts(graph, [name]))
     if limit is not None and limit_mode == "per_branch":
-        rows = first_laundering_rows(graph, paths, limit)
+        rows = first_laundering_rows(graph, paths, limit, settle)
     else:
         rows = attach_parties(graph, paths)
     return _limited(rows, (OUTGOING, INCOMING), LAUNDERING_TIES, limit, limit_mode)
@@ -411,12 +415,12 @@ def transaction_paths(graph: GraphTables, n: int = 10) -> DataFrame:
     order = ["transaction_id", "sender_entity_id", "receiver_entity_id"]
     look = n * 100
     rows = transfers(graph)
-    few = stage(rows.orderBy("transaction_id", "from_account_key", "to_account_key").limit(look), "ids")
+    few = settle(rows.orderBy("transaction_id", "from_account_key", "to_account_key").limit(look), "ids")
     last = few.agg(F.max("transaction_id").alias("m"), F.count("*").alias("n")).first()
     paths = entity_paths(graph, few)
     if last.n == look:
         paths = paths.filter(F.col("transaction_id") < last.m)
-        paths = stage(paths.orderBy(*order).limit(n), "paths")
+        paths = settle(paths.orderBy(*order).limit(n), "paths")
         if paths.count() < n:
             paths = entity_paths(graph)
     node = {

@@ -41,6 +41,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL = 10_000  # rows that may be held by the driver
+
+
+def settle(df: DataFrame, name: str = "stage", most: int = SMALL) -> DataFrame:
+    """Evaluate once. Up to ``most`` rows become a local table, more are staged.
+
+    A local table saves a question the time of writing and listing files, and Spark knows its
+    size as well.
+    """
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return stage(df, name)
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of every group, with their position in ``row_number``.
 

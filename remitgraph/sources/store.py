@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from remitgraph.operators import build
 from remitgraph.operators.retrieve import account_banks, owners, sender_bucket
 from remitgraph.plans.tables import TABLES, GraphTables
 
@@ -14,7 +15,9 @@ BUCKETS = 64
 PARTITIONS = ("is_laundering", "sender_bucket")
 
 
-def write_graph(graph: GraphTables, path: str, buckets: int = BUCKETS) -> GraphTables:
+def write_graph(
+    graph: GraphTables, path: str, buckets: int = BUCKETS, derive_edges: bool = False
+) -> GraphTables:
     """Write a graph to a fresh folder and return it as read back.
 
     Transactions are partitioned by label (the labelled ones are few and are all that most
@@ -22,21 +25,37 @@ def write_graph(graph: GraphTables, path: str, buckets: int = BUCKETS) -> GraphT
     reads only their buckets. Each bucket is written by several tasks if one account fills it.
     Owner and bank of every account are stored as lookups, sorted by name and by account, so
     that Parquet statistics skip most of a file.
+
+    With ``derive_edges`` the SENT and RECEIVED_BY edges are taken from the transactions just
+    written, so a lazily built graph is evaluated only once.
     """
-    for name, df in graph.items():
-        if name != "transactions":
-            df.write.parquet(f"{path}/{name}")
+    spark = graph.accounts.sparkSession
     laid_out = graph.transactions.withColumn("sender_bucket", sender_bucket("from_account_key", buckets))
     # rebalance: AQE cuts a partition that one hot account fills, and joins small ones.
     laid_out = laid_out.hint("rebalance", *[F.col(p) for p in PARTITIONS]).sortWithinPartitions(
         *PARTITIONS, "from_account_key")
     laid_out.write.partitionBy(*PARTITIONS).parquet(f"{path}/transactions")
+    if derive_edges:
+        written = _transactions(spark, path)
+        graph = graph.with_(sent=build.sent(written), received_by=build.received_by(written))
+    for name, df in graph.items():
+        if name != "transactions":
+            df.write.parquet(f"{path}/{name}")
 
-    stored = read_graph(graph.accounts.sparkSession, path, lookups=False)
+    stored = read_graph(spark, path, lookups=False)
     owners(stored).orderBy("entity_name", "account_key").write.parquet(f"{path}/account_owners")
     account_banks(stored).orderBy("account_key").write.parquet(f"{path}/account_banks")
     bucket_count(stored, buckets).write.parquet(f"{path}/layout")
-    return read_graph(graph.accounts.sparkSession, path)
+    return read_graph(spark, path)
+
+
+def _transactions(spark: SparkSession, path: str) -> DataFrame:
+    # A partition column is read from folder names, where a boolean looks like text.
+    found = spark.read.parquet(f"{path}/transactions").schema
+    stated = StructType([
+        StructField(f.name, BooleanType()) if f.name == "is_laundering" else f for f in found
+    ])
+    return spark.read.schema(stated).parquet(f"{path}/transactions")
 
 
 def bucket_count(graph: GraphTables, buckets: int) -> DataFrame:
@@ -44,13 +63,8 @@ def bucket_count(graph: GraphTables, buckets: int) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str, lookups: bool = True) -> GraphTables:
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    # A partition column is read from folder names, where a boolean looks like text.
-    found = tables["transactions"].schema
-    stated = StructType([
-        StructField(f.name, BooleanType()) if f.name == "is_laundering" else f for f in found
-    ])
-    tables["transactions"] = spark.read.schema(stated).parquet(f"{path}/transactions")
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES if n != "transactions"}
+    tables["transactions"] = _transactions(spark, path)
     if not lookups:
         return GraphTables(**tables)
     tables |= {name: spark.read.parquet(f"{path}/{name}") for name in LOOKUPS}
