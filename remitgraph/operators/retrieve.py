@@ -269,11 +269,11 @@ def first_laundering_rows(
     full = quick.filter(F.col("row_number") == limit).select(*group)
     left_over = edge.select(*group).join(full, group, "left_anti")
     if left_over.isEmpty():
-        return quick.drop("row_number")
+        return quick.select(*LAUNDERING_COLUMNS)
     left_over = stage(left_over, "groups")
     again = paths.withColumn(group[0], named).join(left_over, group, "left_semi").drop(group[0])
     rest = top_per_group(attach_parties(graph, again), group, order, limit)
-    return quick.join(left_over, group, "left_anti").unionByName(rest).drop("row_number")
+    return quick.join(left_over, group, "left_anti").unionByName(rest).select(*LAUNDERING_COLUMNS)
 
 
 def labelled(graph: GraphTables) -> DataFrame:

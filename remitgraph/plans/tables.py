@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Labels written on nodes and names of the edge types.
 ACCOUNT, BANK, ENTITY, TRANSACTION = "Account", "Bank", "Entity", "Transaction"
@@ -88,3 +88,7 @@ class GraphTables:
         """Make every table available to ``spark.sql`` as a temporary view."""
         for name, df in self.items():
             df.createOrReplaceTempView(prefix + name)
+
+
+def empty_graph(spark: SparkSession) -> GraphTables:
+    return GraphTables(**{name: spark.createDataFrame([], s) for name, s in SCHEMAS.items()})
