@@ -12,7 +12,7 @@ from checks.registry import check
 from checks.sql import ACC, DIRTY, DIRTY_ACC, DIRTY_RAW, GRAPH, KNOWN, PAIRS, PATH, RAW, TX, nodes, with_
 from remitgraph.functions import columns as c
 from remitgraph.operators import build, load, profile, retrieve
-from remitgraph.operators.validate import union_all
+from remitgraph.operators.validate import group_values, union_all
 from remitgraph.plans.staging import both_ways, top_per_group
 
 # --- profiling ------------------------------------------------------------------------------
@@ -221,9 +221,9 @@ SELECT count(*) AS rows, count(DISTINCT transaction_id) AS ids,
 check("a2_group_counts_and_sets", with_(ACC) + """
 SELECT bank_id, count(*) AS rows, count(DISTINCT entity_id) AS entities,
        string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM acc GROUP BY bank_id""")(
-    lambda s, d: as_text(build.clean_accounts(m.raw_accounts(s, d)).distinct().groupBy("bank_id").agg(
-        F.count("*").alias("rows"), F.count_distinct("entity_id").alias("entities"),
-        F.array_sort(F.collect_set("entity_id")).alias("entity_ids")), "entity_ids"))
+    lambda s, d: as_text(group_values(
+        build.clean_accounts(m.raw_accounts(s, d)), "bank_id", {"entity_id": ("entities", "entity_ids")}),
+        "entity_ids").withColumnRenamed("row_count", "rows"))
 
 check("a3_having", GRAPH + """
 SELECT from_account_key, count(*) AS n FROM tx GROUP BY from_account_key HAVING count(*) > 50""")(

@@ -2,8 +2,8 @@
 
 A path entity - account - transaction - account - entity is answered from the transaction table,
 which carries both account keys, so the two edges next to the transaction cost no join. Each
-function scans the transactions once; the accounts of the named entities are found first, and are
-staged so that Spark knows how small they are when it picks the join.
+function scans the transactions once; the accounts of the named entities are evaluated first, so
+that Spark knows how small they are when it picks the join.
 
 One path may not use the same ownership edge at both ends: a transfer from an account to itself,
 seen from one and the same owner, is no path. Where the two ends are found independently of each
@@ -85,17 +85,30 @@ def sender_bucket(account_key: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(account_key), F.lit(buckets)).cast("int")
 
 
+# Up to this many keys a Parquet scan checks each of them against the statistics of a row group.
+KEYS_IN_FILTER = 10
+
+
 def transfers_sent_by(graph: GraphTables, accounts: DataFrame) -> DataFrame:
     """Transfers that may have been sent by one of the (evaluated) accounts.
 
     Of a stored graph only the buckets of those accounts are read; there are never more buckets
-    than the graph was stored with, so their numbers can be listed in the filter.
+    than the graph was stored with, so their numbers can be listed in the filter. Buckets are
+    sorted by sender: for a handful of accounts the keys are listed too, and most row groups of
+    a bucket are skipped.
     """
     if graph.sender_buckets is None:
         return transfers(graph)
-    bucket = sender_bucket("account_key", graph.sender_buckets).alias("b")
-    wanted = [r.b for r in accounts.select(bucket).distinct().collect()]
-    return transfers(graph, F.col("sender_bucket").isin(wanted) if wanted else F.lit(False))
+    keyed = accounts.select("account_key", sender_bucket("account_key", graph.sender_buckets).alias("b"))
+    few = keyed.distinct().limit(KEYS_IN_FILTER + 1).collect()
+    if not few:
+        return transfers(graph, F.lit(False))
+    if len(few) <= KEYS_IN_FILTER:
+        keys = sorted(r.account_key for r in few)
+        where = F.col("sender_bucket").isin(sorted({r.b for r in few})) & F.col("from_account_key").isin(keys)
+    else:
+        where = F.col("sender_bucket").isin(sorted(r.b for r in keyed.select("b").distinct().collect()))
+    return transfers(graph, where)
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

@@ -56,10 +56,17 @@ def distinct_members(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     return long_form.groupBy(key, "member_of", "member").agg(F.count("*").alias("row_count"))
 
 
-def _conflicts(
-    df: DataFrame, key: str, values: dict[str, tuple[str, str]], row_count: bool, list_most: int
-) -> DataFrame:
-    """Keys with more than one non-null value in any column; values: column -> (count, list)."""
+# column -> (name of its count, name of its list)
+Values = dict[str, tuple[str, str]]
+
+
+def group_values(df: DataFrame, key: str, values: Values, having: Column | None = None,
+                 list_most: int = LIST_MOST) -> DataFrame:
+    """Per key: rows, different non-null values of each column, and the sorted values as text.
+
+    ``having`` is a condition on the counts. Lists are null for a key with more than
+    ``list_most`` values in some column; ``distinct_members`` gives all of them as rows.
+    """
     members = distinct_members(df, key, list(values))
     first = next(iter(values))
 
@@ -70,15 +77,18 @@ def _conflicts(
         F.sum(F.when(F.col("member_of") == first, F.col("row_count"))).alias("row_count"),
         *[F.count_if(of(v)).alias(count) for v, (count, _) in values.items()],
     )
-    conflicts = counts.filter(c.any_of([F.col(count) > 1 for count, _ in values.values()]))
-    short = conflicts.filter(~c.any_of([F.col(n) > list_most for n, _ in values.values()]))
+    groups = counts if having is None else counts.filter(having)
+    short = groups.filter(~c.any_of([F.col(n) > list_most for n, _ in values.values()]))
     lists = members.join(short.select(F.col(key).alias("short")), F.col(key).eqNullSafe(F.col("short")))
     lists = lists.groupBy("short").agg(*[
         F.array_sort(F.collect_list(F.when(of(v), F.col("member")))).alias(as_list)
         for v, (_, as_list) in values.items()
     ])
-    joined = conflicts.join(lists, F.col(key).eqNullSafe(F.col("short")), "left").drop("short")
-    return joined if row_count else joined.drop("row_count")
+    return groups.join(lists, F.col(key).eqNullSafe(F.col("short")), "left").drop("short")
+
+
+def _several(values: Values) -> Column:
+    return c.any_of([F.col(count) > 1 for count, _ in values.values()])
 
 
 def identity_conflicts(accounts: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
@@ -87,12 +97,13 @@ def identity_conflicts(accounts: DataFrame, list_most: int = LIST_MOST) -> DataF
         "bank_id": ("number_of_banks", "bank_ids"),
         "entity_id": ("number_of_entities", "entity_ids"),
     }
-    return _conflicts(accounts, "account_number", values, True, list_most)
+    return group_values(accounts, "account_number", values, _several(values), list_most)
 
 
 def name_conflicts(nodes: DataFrame, key: str, name: str, list_most: int = LIST_MOST) -> DataFrame:
     """Ids that come with more than one name."""
-    return _conflicts(nodes, key, {name: ("number_of_names", f"{name}s")}, False, list_most)
+    values = {name: ("number_of_names", f"{name}s")}
+    return group_values(nodes, key, values, _several(values), list_most).drop("row_count")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -126,3 +126,4 @@ def test_stored_graph_gives_the_same_answers(spark, tmp_path, rows):
         assert rows(ask(stored)) == rows(ask(graph))
     plan = retrieve.entity_relationship(stored, C, C)._jdf.queryExecution().executedPlan().toString()
     assert "sender_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PushedFilters" in plan and "In(from_account_key, [2|c])" in plan or "EqualTo(from_account_key,2|c)" in plan
