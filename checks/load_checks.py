@@ -50,7 +50,7 @@ def bank_rows(spark, d):
 
 
 @check("l2_upsert_banks", """
-SELECT n_nationkey + 100 AS bank_id, n_name AS name FROM nation
+SELECT CAST(n_nationkey + 100 AS BIGINT) AS bank_id, n_name AS name FROM nation
 UNION ALL
 SELECT c_nationkey, max_by(c_mktsegment, c_custkey) FROM customer WHERE c_custkey % 25 <> 0 GROUP BY c_nationkey
 UNION ALL

@@ -14,7 +14,7 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from remitgraph.functions import columns as c
 from remitgraph.operators import retrieve as r
-from remitgraph.plans.staging import stage, top_per_group
+from remitgraph.plans.staging import settle, stage, top_per_group
 from remitgraph.plans.tables import GraphTables
 
 # The intents a request can carry.
@@ -57,8 +57,8 @@ def _valid(requests: DataFrame, intent: str, *names: str) -> DataFrame:
 
 
 def _accounts_of(graph: GraphTables, names: DataFrame) -> DataFrame:
-    """Staged accounts of the entities with one of the names (a distinct ``entity_name`` frame)."""
-    return stage(r.owners(graph).join(names, "entity_name", "left_semi"), "asked-accounts")
+    """Evaluated accounts of the entities with one of the names (a distinct ``entity_name`` frame)."""
+    return settle(r.owners(graph).join(names, "entity_name", "left_semi"), "asked-accounts")
 
 
 def relationship_evidence(
@@ -69,7 +69,7 @@ def relationship_evidence(
         "request_id", "source_entity_name", "target_entity_name")
     # Evidence depends on (sender name, receiver name) only; a request uses it forwards, and the
     # evidence of the swapped pair backwards.
-    pairs = stage(asked.select(F.inline(F.array(
+    pairs = settle(asked.select(F.inline(F.array(
         F.struct(F.col("source_entity_name").alias("from_name"), F.col("target_entity_name").alias("to_name")),
         F.struct(F.col("target_entity_name").alias("from_name"), F.col("source_entity_name").alias("to_name")),
     ))).distinct(), "asked-pairs")
@@ -121,7 +121,7 @@ def answer_requests(graph: GraphTables, requests: DataFrame) -> DataFrame:
     ``row_number`` counts the rows of a request in their final order. An invalid request gives one
     row with ``error`` set; an unsupported one, or one without matches, gives none.
     """
-    requests = stage(requests, "requests")
+    requests = settle(requests, "requests")
     parts = {
         RELATIONSHIP: relationship_evidence(graph, requests),
         LAUNDERING: laundering_evidence(graph, requests),

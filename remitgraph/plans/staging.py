@@ -41,7 +41,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL = 10_000  # rows that may be held by the driver
+SMALL = 50_000  # rows that may be held by the driver
 
 
 def settle(df: DataFrame, name: str = "stage", most: int = SMALL) -> DataFrame:
