@@ -227,7 +227,7 @@ def edge_sql(template: str) -> str:
 check("v14_relationship_summary", edge_sql("""
 SELECT '{kind}' AS relationship_type, (SELECT count(*) FROM ({edge})) AS row_count,
        (SELECT count(*) FROM (SELECT DISTINCT * FROM ({edge}))) AS distinct_relationships"""))(
-    lambda s, d: validate.relationship_summary(m.dirty_graph(s, d)))
+    lambda s, d: validate.relationship_summary(m.dirty_graph(s, d, m.FOR_WRITING)))
 
 _ENDS = [
     ("OWNS", "entities", "entity_id", "SELECT DISTINCT entity_id, account_key FROM all_node",
@@ -248,7 +248,7 @@ SELECT '{kind}' AS relationship_type, '{node}' AS missing_node,
        (SELECT count(*) FROM ({edge}) e WHERE e.{end} IS NULL OR e.{end} NOT IN (
           SELECT x FROM ({known}) AS q(x) WHERE x IS NOT NULL)) AS missing_rows"""
     for kind, node, end, edge, known in _ENDS))(
-    lambda s, d: validate.missing_endpoints(m.dirty_graph(s, d)))
+    lambda s, d: validate.missing_endpoints(m.dirty_graph(s, d, m.FOR_WRITING)))
 
 
 @check("v17_reconcile_manifest", """

@@ -107,7 +107,7 @@ def raw_transactions(spark: SparkSession, d: str, dirty: bool = False) -> DataFr
     )
 
 
-# Questions need the account table several times; writing all tables needs both.
+# Questions need the account table several times; what reads or writes all tables needs both.
 FOR_QUESTIONS = ("accounts",)
 FOR_WRITING = ("accounts", "transactions")
 
