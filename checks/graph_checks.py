@@ -10,8 +10,6 @@ from checks.sql import ACC, DIRTY, DIRTY_ACC, DIRTY_RAW, GRAPH, KNOWN, PAIRS, RA
 from remitgraph.operators import build, export, validate
 from remitgraph.plans.tables import GraphTables
 
-GROUP_BANK = "GROUP BY bank_id"
-
 
 def dirty_clean(spark, d):
     return build.clean_accounts(m.dirty_accounts(spark, d))
@@ -54,8 +52,8 @@ def n4(spark, d):
     return build.account_nodes(pairs, build.account_metadata(known))
 
 
-check("n5_bank_nodes", with_(DIRTY_ACC) + f"""
-SELECT bank_id, min(bank_name) AS name, 'Bank' AS label FROM dacc {GROUP_BANK}""")(
+check("n5_bank_nodes", with_(DIRTY_ACC) + """
+SELECT bank_id, min(bank_name) AS name, 'Bank' AS label FROM dacc GROUP BY bank_id""")(
     lambda s, d: build.bank_nodes(dirty_clean(s, d)))
 
 check("n6_entity_nodes", with_(ACC) + """

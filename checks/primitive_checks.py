@@ -9,7 +9,7 @@ from checks import mapping as m
 from checks.graph_checks import as_text, base, dirty_clean, transactions
 from checks.question_checks import FACTS, NOT_SELF, ask
 from checks.registry import check
-from checks.sql import ACC, DIRTY, DIRTY_ACC, DIRTY_RAW, GRAPH, KNOWN, PAIRS, PATH, RAW, TX, nodes, with_
+from checks.sql import ACC, DIRTY, DIRTY_ACC, DIRTY_RAW, GRAPH, KNOWN, PAIRS, PATH, RAW, TX, with_
 from remitgraph.functions import columns as c
 from remitgraph.operators import build, load, profile, retrieve
 from remitgraph.operators.validate import group_values, union_all

@@ -55,7 +55,7 @@ SELECT * FROM ({relationship(A, B)}) ORDER BY "timestamp" NULLS LAST, direction,
     ask(r.entity_relationship, A, B, limit_mode="combined"))
 
 
-def laundering(where: str = "true") -> str:
+def laundering() -> str:
     return f"""
 SELECT s_id AS searched_entity_id, s_name AS searched_entity, 'OUTGOING' AS direction, {FACTS},
        s_bank AS searched_entity_bank, r_id AS counterparty_id, r_name AS counterparty, r_bank AS counterparty_bank

@@ -2,7 +2,6 @@ import os
 
 import pytest
 from graph_fixture import C, P, hand_made
-from pyspark.sql import functions as F
 
 from remitgraph.operators import export, profile, retrieve, validate
 from remitgraph.sources import files, sampling, store

@@ -1,4 +1,3 @@
-import pytest
 from graph_fixture import C, P, hand_made
 from pyspark.sql import functions as F
 

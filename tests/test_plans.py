@@ -1,13 +1,13 @@
 """Properties of plans that decide whether a query holds at scale."""
 
 import pytest
-from graph_fixture import C, P, hand_made
+from graph_fixture import P, hand_made
 from pyspark.sql import functions as F
 
 from checks import mapping as m
 from remitgraph.operators import build, load, requests, retrieve, validate
-from remitgraph.sources import store
 from remitgraph.plans.staging import shared_folder, stage, top_per_group
+from remitgraph.sources import store
 
 D = "/root/testdata/sf0.001"
 
