@@ -113,25 +113,18 @@ def route(patterns: dict[tuple, int], quotas: dict, passes: int = PASSES) -> dic
     return {name: sum(arcs[k ^ 1][1] for k in first[name]) for name in names}
 
 
-def mix(docs: DataFrame, members: Column,
-        weights: Callable[[Sequence[str | None]], dict] = cycling_weights,
-        passes: int = PASSES, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
-
-    ``members`` is the array of sources of a row; of a row's first source ``source_size`` and ``target``
-    are given (a row without sources takes nothing, and both are null). ``taken`` is a multiple of
-    ``size``, up to ``passes`` times; the words taken of a pattern differ from its amount by less than
-    the last document taken. Equal rows are interchangeable but each counts. Texts are read once;
-    sizes are staged. The driver gets one row per pattern and plans with those alone: there should be
-    few sources.
-    """
-    sized = stage(docs.select("doc_id", members.alias("members"), size_of(F.col("text")).alias("size"),
-                              F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash")), "mixing")
-    pattern = F.array_distinct("members")
-    summed = sized.groupBy(pattern.alias("pattern")).agg(F.sum("size").alias("size")).collect()
-    patterns = {tuple(r["pattern"] or ()): 0 for r in summed}
-    for r in summed:
-        patterns[tuple(r["pattern"] or ())] += r["size"] or 0
+def _sized(docs: DataFrame, members: Column, seed: int, *more: Column) -> DataFrame:
+    """id, size, seeded hash, its range and the membership pattern of every row."""
+    hashed = F.xxhash64(F.lit(seed), "doc_id", "text")
+    pattern = F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))
+    return docs.select("doc_id", *more, size_of(F.col("text")).alias("size"), hashed.alias("hash"),
+                       F.shiftrightunsigned(hashed, 64 - RANGES.bit_length() + 1).alias("range"), pattern.alias("pattern"))
+
+
+def _plan(sized: DataFrame, weights: Callable, passes: int) -> DataFrame:
+    """A row for each pattern: whole passes, words beyond them, the range of the hash in which those are
+    reached and how many lie before it, and size and target of the pattern's first source."""
+    patterns = {tuple(r["pattern"]): r["size"] or 0 for r in sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
     sizes: dict = {}
     for name, size in patterns.items():
         for s in name:
@@ -139,59 +132,73 @@ def mix(docs: DataFrame, members: Column,
     # Overlapping words are there once, however many sources they belong to.
     targets = share_out(sizes, weights(list(sizes)), passes)
     all_words = sum(size for name, size in patterns.items() if name)
-    scale = all_words / sum(targets.values()) if sum(targets.values()) > 0 else 0.0
-    targets = {s: t * min(scale, 1.0) for s, t in targets.items()}
+    scale = min(all_words / sum(targets.values()), 1.0) if sum(targets.values()) > 0 else 0.0
+    targets = {s: t * scale for s, t in targets.items()}
     amounts = route({n: s for n, s in patterns.items() if n and s}, targets, passes)
-
-    spark = docs.sparkSession
-    kind = "array<string>"
+    spark = sized.sparkSession
+    kind = "pattern array<string>, whole long, rest long, source_size long, target double"
     plan = spark.createDataFrame(
         [(list(n), *(divmod(amounts.get(n, 0), s) if s else (0, 0)), sizes.get(n[0]) if n else None,
-          targets.get(n[0]) if n else None) for n, s in patterns.items()],
-        f"pattern {kind}, whole long, rest long, source_size long, target double")
-    bucket = F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1)
-    known = (sized.withColumn("pattern", F.coalesce(pattern, F.array().cast(kind))).withColumn("range", bucket)
-             .join(F.broadcast(plan), "pattern"))
-    # Words in all ranges before, for the ranges of patterns; then, only in the range where the amount
-    # is reached, document by document.
+          targets.get(n[0]) if n else None) for n, s in patterns.items()], kind)
     before = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (known.filter("rest > 0").groupBy("pattern", "range").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-              .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-              .filter("before < rest").select("pattern", "range", "before", "n"))
-    placed = known.join(ranges, ["pattern", "range"], "left")
-    reached = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))
-    inside = placed.withColumn("reached", F.coalesce(reached, F.lit(False)))
-    all_in = F.when((F.col("rest") > 0) & F.col("before").isNotNull(), 1).otherwise(0)
-    simple = inside.filter(~F.col("reached")).withColumn("more", all_in)
-    order = Window.partitionBy("pattern", "range").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    split = (inside.filter("reached")
-             .withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-             # A document counts if the amount lies beyond its middle.
-             .withColumn("more", F.when(F.col("at") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)))
-    columns = ["doc_id", "size", "source_size", "target",
-               (F.least(F.col("whole") + F.col("more"), F.lit(passes)) * F.col("size")).alias("taken")]
-    return simple.select(*columns).unionByName(split.select(*columns))
+    cuts = (sized.groupBy("pattern", "range").agg(F.sum("size").alias("n"))
+            .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(plan), "pattern")
+            .filter("rest > 0 and before <= rest and before + n > rest")
+            .select("pattern", F.col("range").alias("cut"), "before").collect())
+    cut = spark.createDataFrame([tuple(r) for r in cuts], "pattern array<string>, cut long, before long")
+    return stage(plan.join(F.broadcast(cut), "pattern", "left"), "mixing-plan")
+
 
+def _split(known: DataFrame) -> DataFrame:
+    """Rows in the range where the rest is reached, with ``more`` = 1 for those still taken, by hash."""
+    order = Window.partitionBy("pattern").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    # A document counts if the amount lies beyond its middle.
+    return known.filter("range = cut").withColumn("more", F.when(at + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
 
-def apply_mix(docs: DataFrame, members: Column, seed: int = 42, **settings) -> DataFrame:
-    """All columns of the rows taken, each row as often as it is taken.
 
-    Rows are matched to the plan by a hash of id and text; of equal rows each is taken as often.
+def mix(docs: DataFrame, members: Column,
+        weights: Callable[[Sequence[str | None]], dict] = cycling_weights,
+        passes: int = PASSES, seed: int = 42) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row.
+
+    ``members`` is the array of sources of a row; of a row's first source ``source_size`` and ``target``
+    are given (a row without sources takes nothing, and both are null). ``taken`` is a multiple of
+    ``size``, up to ``passes`` times; the words taken of a pattern differ from its amount by half a
+    document about. Equal rows are interchangeable but each counts. Texts are read once; sizes are
+    staged. The driver gets a few rows per pattern and plans with those alone: there should be few
+    sources.
     """
-    plan = stage(mix_by_hash(docs, members, seed, **settings), "mixing-plan")
-    keyed = docs.withColumn("_key", row_key(seed))
-    often = plan.filter("_times > 0").groupBy("_key").agg(F.max("_times").alias("_times"))
-    taken = keyed.join(often, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = stage(_sized(docs, members, seed), "mixing")
+    known = sized.join(F.broadcast(_plan(sized, weights, passes)), "pattern")
+    simple = known.filter("cut is null or range <> cut").withColumn("more", _more())
+    columns = ["doc_id", "size", "source_size", "target",
+               (F.least(F.col("whole") + F.col("more"), F.lit(passes)) * F.col("size")).alias("taken")]
+    return simple.select(*columns).unionByName(_split(known).select(*columns))
 
 
-def row_key(seed: int) -> Column:
-    return F.struct(F.xxhash64(F.lit(seed), "doc_id", "text").alias("a"), F.xxhash64(F.lit(~seed), "text", "doc_id").alias("b"))
+def _more() -> Column:
+    return F.when(F.col("range") < F.col("cut"), 1).otherwise(0)
 
 
-def mix_by_hash(docs: DataFrame, members: Column, seed: int, **settings) -> DataFrame:
-    """``_key`` and ``_times`` of every row."""
-    keyed = docs.select(row_key(seed).alias("doc_id"), "text", members.alias("_members"))
-    found = mix(keyed, F.col("_members"), seed=seed, **settings)
-    return found.select(F.col("doc_id").alias("_key"),
-                        F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("_times"))
+def apply_mix(docs: DataFrame, members: Column, weights: Callable[[Sequence[str | None]], dict] = cycling_weights,
+              passes: int = PASSES, seed: int = 42) -> DataFrame:
+    """The rows taken, with all their columns, each as often as it is taken.
+
+    Rows without words are taken as often as the whole passes say. Of the rows only those in the range
+    of the hash where a pattern's rest is reached are matched by a join; of equal rows there all are
+    taken or none. Texts are not shuffled otherwise.
+    """
+    sized = stage(_sized(docs, members, seed), "mixing")
+    plan = _plan(sized, weights, passes)
+    chosen = _split(sized.join(F.broadcast(plan), "pattern")).filter("more = 1").select(
+        F.col("hash").alias("_chosen"), F.col("pattern").alias("_of")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    known = _sized(docs, members, seed, whole).join(F.broadcast(plan), "pattern")
+    simple = known.filter("cut is null or range <> cut").withColumn("more", _more())
+    edge = known.filter("range = cut").join(
+        chosen, (F.col("hash") == F.col("_chosen")) & (F.col("pattern") == F.col("_of")), "left")
+    edge = edge.withColumn("more", F.when(F.col("_chosen").isNotNull(), 1).otherwise(0))
+    times = F.least(F.col("whole") + F.col("more"), F.lit(passes)).cast("int")
+    taken = simple.select("_row", times.alias("n")).unionByName(edge.select("_row", times.alias("n"))).filter("n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "n"))).select("_row.*")
