@@ -6,11 +6,11 @@ the same chance as the sets are alike, with less variance than two independent o
 signature give candidates; every link is then confirmed on the full sets.
 
 Equal sets are one class from the start. In a group of classes that share a band not all pairs are
-looked at: a few members of the group, those that share most bands with others first, are compared with
-all members. Members that are in one component by then need no more comparing, and what is left of a
-group is compared with further members, more of them each round, until each group is one component or
-every member has been compared. So no link between components is lost, and work in a group of copies
-grows with its size only. Links and components stay distributed throughout.
+looked at: two members, those that share most bands with others, are compared with all. Members that
+are in one component by then need no more comparing. What is not in the group's largest component is
+then compared with the whole group, in blocks of bounded size, each in a task that passes over what it
+has found connected and emits links only. So no link between components is lost, and no list of pairs
+grows with the square of a group of copies. Links and components stay distributed throughout.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ ALIKE = 80  # percent: sets are linked if 100 * intersection >= ALIKE * union
 PERMUTATIONS = 48
 ROWS = 4  # signature values of a band: at 80 percent a pair shares no band with a chance of 3e-6
 SMALL_GROUP = 8  # in groups up to this size all pairs are compared at once
-FIRST_HUBS = 2  # in larger groups so many members are compared with all others, eight times more each round
+HUBS = 2  # in larger groups so many members are compared with all others first
+BLOCK = 512  # members of a group that meet others at a time in one task, about
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FACTORS = np.array([int.from_bytes(hashlib.blake2b(b"factor %d" % i, digest_size=8).digest(), "little") | 1
@@ -132,12 +133,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                u, v = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                at = np.searchsorted(u, v)
-                same = int((u[np.minimum(at, len(u) - 1)] == v).sum())
-                linked.append(100 * same >= alike * (len(u) + len(v) - same))
+            linked = [_alike(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), alike)
+                      for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
@@ -171,47 +168,106 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _alike(u: np.ndarray, v: np.ndarray, alike: int) -> bool:
+    """Whether two sets, sorted, are alike enough."""
+    if 100 * min(len(u), len(v)) < alike * max(len(u), len(v)):
+        return False
+    at = np.searchsorted(u, v)
+    same = int((u[np.minimum(at, len(u) - 1)] == v).sum())
+    return 100 * same >= alike * (len(u) + len(v) - same)
+
+
+def _compare(band: int, left: pa.Table, right: pa.Table, alike: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the components of two blocks of a group; pairs that share an earlier band are left to it."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def columns(t: pa.Table) -> tuple[list, list, np.ndarray, list]:
+        t = t.combine_chunks()
+        values = t["values"].combine_chunks()
+        ends = np.asarray(values.offsets)
+        flat = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        return (t["key"].to_pylist(), t["root"].to_pylist(),
+                t["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, _BANDS),
+                [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+
+    keys, roots, bands, sets = columns(left)
+    others, other_roots, other_bands, other_sets = columns(right)
+    found = []
+    for i, key in enumerate(keys):
+        shared = other_bands == bands[i]
+        first = np.flatnonzero(shared.any(axis=1) & (bands[i][shared.argmax(axis=1)] == band))
+        # What shares most bands comes first: a link makes all others of its component needless.
+        for j in first[np.argsort(-shared[first].sum(axis=1), kind="stable")].tolist():
+            x, y = root(roots[i]), root(other_roots[j])
+            if x != y and _alike(sets[i], other_sets[j], alike):
+                parent[max(x, y)] = min(x, y)
+                found.append((key, others[j]))
+    return found
+
+
+def _rest(active: DataFrame, sets: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
+    """Links within groups (band, key, root) of several components.
+
+    What is not in a group's largest component is compared with the whole group, block by block; a
+    block has about ``BLOCK`` members, and only links leave a task.
+    """
+    size = active.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = size.groupBy("band").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("all"))
+    split = major.filter(F.col("all") > F.col("major.n")).select(
+        "band", F.col("major.root").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"),
+        F.ceil((F.col("all") - F.col("major.n")) / BLOCK).cast("int").alias("lefts"))
+    whole = sets.join(classes.select("key", "bands"), "key").select("key", "values", "bands")
+    members = active.select("band", "key", "root").join(split, "band").join(whole, "key")
+
+    def block(n: str) -> F.Column:
+        return F.pmod(F.xxhash64(F.lit(3), "key"), F.col(n)).cast("int")
+
+    def every(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    columns = ["band", "key", "root", "bands", "values"]
+    left = members.filter("root <> major").select(*columns, block("lefts").alias("l"), every("rights").alias("r"))
+    right = members.select(*columns, block("rights").alias("r"), every("lefts").alias("l"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, apart from the left's
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        found = _compare(key[0].as_py(), a, b, alike) if a.num_rows and b.num_rows else []
+        return pa.table({"a": pa.array([max(f) for f in found], pa.binary()), "b": pa.array([min(f) for f in found], pa.binary())})
+
+    group = ["band", "l", "r"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, "a binary, b binary").distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, alike: int = ALIKE) -> DataFrame:
     """Confirmed links (a, b) between classes (key, doc_id, bands), enough to connect all that are connected."""
-    spark = docs.sparkSession
     band = classes.select("key", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stage(band.join(shared, "band"), "bands")
     # How many others a class meets, over its bands: the middle of a group of copies meets most.
     central = stage(members.groupBy("key").agg(F.sum("size").alias("met")), "bands")
-    ranked = members.join(central, "key")
     ids = central.select("key").join(classes.select("key", F.col("doc_id").alias("_doc")), "key").select("_doc").distinct()
     chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
     sets = (sets_of(chosen, words, full=True).join(central.select("key"), "key", "left_semi")
             .groupBy("key").agg(F.first("values").alias("values"), F.first("n_shingles").alias("n_shingles")))
     sets = stage(sets, "sets")
-    active = ranked.withColumn("root", F.col("key"))
     order = Window.partitionBy("band").orderBy(F.desc("met"), "key")
-    found, hubs, compared = None, FIRST_HUBS, None
-    while True:
-        # A literal bound lets every task pass on so many rows of a group.
-        most = max(hubs, SMALL_GROUP)
-        top = (active.select("band", "size", "key", "root", "met").withColumn("place", F.row_number().over(order))
-               .filter(F.col("place") <= most).filter((F.col("size") <= SMALL_GROUP) | (F.col("place") <= hubs))
-               .select("band", F.col("key").alias("hub"), F.col("root").alias("hub_root")))
-        pairs = (active.join(top, "band").filter("key <> hub and root <> hub_root")
-                 .select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
-        new = stage(_confirmed(pairs, sets, alike), "confirmed")
-        found = new if found is None else found.union(new)
-        left = active.filter(F.col("size") > SMALL_GROUP)
-        if left.isEmpty():
-            return found
-        roots = components(found)
-        done = stage(top.select("band", "hub"), "hubs")
-        rest = (left.drop("root").join(done, (left["band"] == done["band"]) & (left["key"] == done["hub"]), "left_anti")
-                .join(roots.withColumnRenamed("node", "key"), "key", "left")
-                .withColumn("root", F.coalesce("root", "key")))
-        several = rest.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                           F.count(F.lit(1)).alias("_n")).filter("lo <> hi").select("band")
-        active = stage(rest.select("band", "size", "key", "met", "root").join(several, "band"), "bands")
-        if active.isEmpty():
-            return found
-        hubs *= 8
+    # A literal bound lets every task pass on so many rows of a group.
+    top = (members.join(central, "key").withColumn("place", F.row_number().over(order))
+           .filter(F.col("place") <= SMALL_GROUP).filter((F.col("size") <= SMALL_GROUP) | (F.col("place") <= HUBS))
+           .select("band", F.col("key").alias("hub")))
+    pairs = (members.join(top, "band").filter("key <> hub")
+             .select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct())
+    found = stage(_confirmed(pairs, sets, alike), "confirmed")
+    left = members.filter(F.col("size") > SMALL_GROUP)
+    active = (left.join(components(found).withColumnRenamed("node", "key"), "key", "left")
+              .select("band", "key", F.coalesce("root", "key").alias("root")))
+    return found.union(stage(_rest(stage(active, "active"), sets, classes, alike), "confirmed"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, alike: int = ALIKE) -> DataFrame:
