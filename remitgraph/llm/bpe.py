@@ -71,7 +71,7 @@ def _before(size: np.ndarray) -> np.ndarray:
 class Encoder:
     """A vocabulary with its tables, and up to ``cached`` words that were encoded lately."""
 
-    def __init__(self, path: str, cached: int = 1_000_000) -> None:
+    def __init__(self, path: str, cached: int = 400_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in pieces(batches, most=8 << 20):
+        for batch in pieces(batches, most=4 << 20):
             found = own.batch(texts(batch).to_pylist()).ids()
             ends = _before(np.array([len(i) for i in found])).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
@@ -358,7 +358,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in pieces(batches, most=8 << 20):
+        for batch in pieces(batches, most=4 << 20):
             found = own.batch(texts(batch).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found.counts(), pa.int64()),
