@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from checks import mapping as m
 from remitgraph.operators import load, profile, requests, retrieve, validate
-from remitgraph.plans.staging import stage
+from remitgraph.plans.staging import shared_folder, stage
 from remitgraph.session import configure
 from remitgraph.sources import store
 
@@ -49,7 +49,7 @@ def main() -> None:
             took.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(took), 3)
 
-    folder = tempfile.mkdtemp(prefix="bench-")
+    folder = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}"
     built: dict[str, object] = {}
 
     def build(at: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import mapping as m
-from checks.graph_checks import as_text, base, dirty_clean, transactions
+from checks.graph_checks import base, dirty_clean, transactions
 from checks.question_checks import FACTS, NOT_SELF, ask
 from checks.registry import check
 from checks.sql import ACC, DIRTY, DIRTY_ACC, DIRTY_RAW, GRAPH, KNOWN, PAIRS, PATH, RAW, TX, with_
@@ -219,11 +219,12 @@ SELECT count(*) AS rows, count(DISTINCT transaction_id) AS ids,
         F.count_distinct("payment_format").alias("formats")))
 
 check("a2_group_counts_and_sets", with_(ACC) + """
-SELECT bank_id, count(*) AS rows, count(DISTINCT entity_id) AS entities,
-       string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids FROM acc GROUP BY bank_id""")(
-    lambda s, d: as_text(group_values(
-        build.clean_accounts(m.raw_accounts(s, d)), "bank_id", {"entity_id": ("entities", "entity_ids")}),
-        "entity_ids").withColumnRenamed("row_count", "rows"))
+SELECT g.*, a.entity_id, count(*) AS entity_rows
+FROM (SELECT bank_id, count(*) AS rows, count(DISTINCT entity_id) AS entities FROM acc GROUP BY bank_id) g
+JOIN acc a ON a.bank_id = g.bank_id GROUP BY ALL""")(
+    lambda s, d: group_values(build.clean_accounts(m.raw_accounts(s, d)), "bank_id", {"entity_id": "entities"})
+    .select("bank_id", F.col("row_count").alias("rows"), "entities", F.col("member").alias("entity_id"),
+            F.col("member_rows").alias("entity_rows")))
 
 check("a3_having", GRAPH + """
 SELECT from_account_key, count(*) AS n FROM tx GROUP BY from_account_key HAVING count(*) > 50""")(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from remitgraph.functions import columns as c
 from remitgraph.operators.validate import union_all
 from remitgraph.plans.tables import GraphTables
-from remitgraph.sources.files import read_text_table, write_single_csv, write_table
+from remitgraph.sources.files import read_text_table, write_table
 
 # table -> (exported columns, sort columns)
 EXPORT_LAYOUT = {
@@ -54,18 +54,12 @@ def export_frames(graph: GraphTables, order: str | None = "global") -> dict[str,
 
 def write_export(
     graph: GraphTables, out: str, version: str, fmt: str = "csv",
-    order: str | None = "files", single_files: bool = False,
+    order: str | None = "files",
 ) -> str:
-    """Write the bundle below ``out/version``; returns that folder.
-
-    One directory per table, or with ``single_files`` one ``<table>.csv`` each (small graphs only).
-    """
+    """Write the bundle below ``out/version``, one directory per table; returns that folder."""
     folder = f"{out.rstrip('/')}/{version}"
-    for table, df in export_frames(graph, "global" if single_files else order).items():
-        if single_files:
-            write_single_csv(df, f"{folder}/{table}.csv")
-        else:
-            write_table(df, f"{folder}/{table}", fmt)
+    for table, df in export_frames(graph, order).items():
+        write_table(df, f"{folder}/{table}", fmt)
     return folder
 
 

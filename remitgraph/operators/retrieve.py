@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
-from remitgraph.plans.staging import both_ways, settle, stage, top_per_group
+from remitgraph.plans.staging import both_ways, stage, top_per_group
 from remitgraph.plans.tables import OWNS, RECEIVED_BY, SENT, GraphTables
 
 MAX_ROWS = 50
@@ -77,7 +77,7 @@ def named_accounts(graph: GraphTables, names: list[str], any_case: bool = False)
         wanted = F.lower("entity_name").isin([n.lower() for n in names])
     else:
         wanted = F.col("entity_name").isin(names)
-    return settle(owners(graph).filter(wanted), "named-accounts")
+    return stage(owners(graph).filter(wanted), "named-accounts")
 
 
 def sender_bucket(account_key: Column | str, buckets: int) -> Column:
@@ -300,7 +300,7 @@ def entity_laundering(
     """Labelled transfers out of and into one named entity, with counterparty and both banks."""
     paths = laundering_paths(graph, named_accounts(graph, [name]))
     if limit is not None and limit_mode == "per_branch":
-        rows = first_laundering_rows(graph, paths, limit, settle)
+        rows = first_laundering_rows(graph, paths, limit, stage)
     else:
         rows = attach_parties(graph, paths)
     return _limited(rows, (OUTGOING, INCOMING), LAUNDERING_TIES, limit, limit_mode)
@@ -428,12 +428,12 @@ def transaction_paths(graph: GraphTables, n: int = 10) -> DataFrame:
     order = ["transaction_id", "sender_entity_id", "receiver_entity_id"]
     look = n * 100
     rows = transfers(graph)
-    few = settle(rows.orderBy("transaction_id", "from_account_key", "to_account_key").limit(look), "ids")
+    few = stage(rows.orderBy("transaction_id", "from_account_key", "to_account_key").limit(look), "ids")
     last = few.agg(F.max("transaction_id").alias("m"), F.count("*").alias("n")).first()
     paths = entity_paths(graph, few)
     if last.n == look:
         paths = paths.filter(F.col("transaction_id") < last.m)
-        paths = settle(paths.orderBy(*order).limit(n), "paths")
+        paths = stage(paths.orderBy(*order).limit(n), "paths")
         if paths.count() < n:
             paths = entity_paths(graph)
     node = {

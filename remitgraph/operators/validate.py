@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from remitgraph.functions import columns as c
 from remitgraph.plans.tables import EDGE_ENDS, NODE_KEYS, GraphTables
 
-# Lists of values are shown for groups up to this size. The members of larger groups are rows of
-# ``distinct_members``, which has no bound.
-LIST_MOST = 10_000
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -56,54 +51,39 @@ def distinct_members(df: DataFrame, key: str, values: list[str]) -> DataFrame:
     return long_form.groupBy(key, "member_of", "member").agg(F.count("*").alias("row_count"))
 
 
-# column -> (name of its count, name of its list)
-Values = dict[str, tuple[str, str]]
-
-
-def group_values(df: DataFrame, key: str, values: Values, having: Column | None = None,
-                 list_most: int = LIST_MOST) -> DataFrame:
-    """Per key: rows, different non-null values of each column, and the sorted values as text.
+def group_values(df: DataFrame, key: str, counts: dict[str, str], having: Column | None = None) -> DataFrame:
+    """Rows ``(key, row_count, a count of each column's different values, member_of, member, member_rows)``.
 
-    ``having`` is a condition on the counts. Lists are null for a key with more than
-    ``list_most`` values in some column; ``distinct_members`` gives all of them as rows.
+    ``counts`` names the count of each column; ``having`` is a condition on them. Every different value
+    of a key is a row of its own, so no key is ever gathered; null is not a value.
     """
-    members = distinct_members(df, key, list(values))
-    first = next(iter(values))
-
-    def of(v: str) -> Column:
-        return (F.col("member_of") == v) & F.col("member").isNotNull()
-
-    counts = members.groupBy(key).agg(
+    members = distinct_members(df, key, list(counts))
+    first = next(iter(counts))
+    of = {v: (F.col("member_of") == v) & F.col("member").isNotNull() for v in counts}
+    groups = members.groupBy(F.col(key).alias("_key")).agg(
         F.sum(F.when(F.col("member_of") == first, F.col("row_count"))).alias("row_count"),
-        *[F.count_if(of(v)).alias(count) for v, (count, _) in values.items()],
-    )
-    groups = counts if having is None else counts.filter(having)
-    short = groups.filter(~c.any_of([F.col(n) > list_most for n, _ in values.values()]))
-    lists = members.join(short.select(F.col(key).alias("short")), F.col(key).eqNullSafe(F.col("short")))
-    lists = lists.groupBy("short").agg(*[
-        F.array_sort(F.collect_list(F.when(of(v), F.col("member")))).alias(as_list)
-        for v, (_, as_list) in values.items()
-    ])
-    return groups.join(lists, F.col(key).eqNullSafe(F.col("short")), "left").drop("short")
+        *[F.count_if(of[v]).alias(count) for v, count in counts.items()])
+    groups = groups if having is None else groups.filter(having)
+    values = members.filter("member is not null").withColumnRenamed("row_count", "member_rows")
+    return (groups.join(values, F.col("_key").eqNullSafe(F.col(key)))
+            .select(key, "row_count", *counts.values(), "member_of", "member", "member_rows"))
 
 
-def _several(values: Values) -> Column:
-    return c.any_of([F.col(count) > 1 for count, _ in values.values()])
+def _several(counts: dict[str, str]) -> Column:
+    return c.any_of([F.col(count) > 1 for count in counts.values()])
 
 
-def identity_conflicts(accounts: DataFrame, list_most: int = LIST_MOST) -> DataFrame:
-    """Account numbers used at several banks or by several entities."""
-    values = {
-        "bank_id": ("number_of_banks", "bank_ids"),
-        "entity_id": ("number_of_entities", "entity_ids"),
-    }
-    return group_values(accounts, "account_number", values, _several(values), list_most)
+def identity_conflicts(accounts: DataFrame) -> DataFrame:
+    """Account numbers used at several banks or by several entities, with a row for each of those."""
+    counts = {"bank_id": "number_of_banks", "entity_id": "number_of_entities"}
+    return group_values(accounts, "account_number", counts, _several(counts))
 
 
-def name_conflicts(nodes: DataFrame, key: str, name: str, list_most: int = LIST_MOST) -> DataFrame:
-    """Ids that come with more than one name."""
-    values = {name: ("number_of_names", f"{name}s")}
-    return group_values(nodes, key, values, _several(values), list_most).drop("row_count")
+def name_conflicts(nodes: DataFrame, key: str, name: str) -> DataFrame:
+    """Ids that come with more than one name, with a row for each name."""
+    counts = {name: "number_of_names"}
+    found = group_values(nodes, key, counts, _several(counts))
+    return found.select(key, "number_of_names", F.col("member").alias(name), "member_rows")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,8 +111,9 @@ def require_empty(df: DataFrame, message: str) -> None:
 
 def require_consistent_names(nodes: DataFrame) -> None:
     """Gate before bank and entity nodes are used: one name per bank id and per entity id."""
-    require_empty(name_conflicts(nodes, "bank_id", "bank_name"), "a bank id has several names")
-    require_empty(name_conflicts(nodes, "entity_id", "entity_name"), "an entity id has several names")
+    for key, name, what in (("bank_id", "bank_name", "a bank id"), ("entity_id", "entity_name", "an entity id")):
+        names = nodes.groupBy(key).agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+        require_empty(names.filter("lo <> hi"), f"{what} has several names")
 
 
 def transaction_summary(transactions: DataFrame) -> DataFrame:

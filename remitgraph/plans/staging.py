@@ -1,17 +1,16 @@
 """Shared building blocks for plans that must hold at any size.
 
 ``stage`` writes an intermediate result as Parquet into the folder the cluster shares for
-checkpoints and reads it back. This cuts the lineage (a lost executor rereads files, nothing is
-recomputed) and gives the optimizer the real size of the data, so that Spark's own limit
-(``spark.sql.autoBroadcastJoinThreshold``) decides between a broadcast and a shuffle join. No
-broadcast hint is needed, and none is used on data whose size is not known.
+checkpoints and reads it back; what an application staged is removed when it ends. This cuts the
+lineage (a lost executor rereads files, nothing is recomputed) and gives the optimizer the real size
+of the data, so that Spark's own limit (``spark.sql.autoBroadcastJoinThreshold``) decides between a
+broadcast and a shuffle join. No broadcast hint is needed, and none is used on data whose size is not
+known.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,42 +19,33 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only on a local master."""
+    """The folder named by ``spark.checkpoint.dir``, else one in the warehouse; both are shared by a cluster."""
     folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-    return _local_folder(spark.sparkContext.applicationId)
+    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
-@lru_cache
-def _local_folder(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"remitgraph-{application_id}-")
+_MARKED: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the folder, removed when its driver ends."""
+    own = f"{shared_folder(spark)}/remitgraph/{spark.sparkContext.applicationId}"
+    if own not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(own)
+    return own
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/remitgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL = 50_000  # rows that may be held by the driver
-
-
-def settle(df: DataFrame, name: str = "stage", most: int = SMALL) -> DataFrame:
-    """Evaluate once. Up to ``most`` rows become a local table, more are staged.
-
-    A local table saves a question the time of writing and listing files, and Spark knows its
-    size as well.
-    """
-    rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        return stage(df, name)
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of every group, with their position in ``row_number``.
 

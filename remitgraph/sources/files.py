@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitgraph.operators.build import name_account_sides
 
-# A single CSV file is written by one task, so it is only for results up to this many rows.
-SINGLE_FILE_ROWS = 2_000_000
-
 CSV_OPTIONS = {"header": True, "emptyValue": "", "nullValue": ""}
 
 
@@ -23,33 +22,34 @@ def read_raw_transactions(spark: SparkSession, path: str | list[str]) -> DataFra
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Manifest ``(file_path, file_name, file_size)`` below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    files = files.option("recursiveFileLookup", True).load(folder)
-    return files.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_size").alias("file_size"),
-    )
+    """Manifest ``(file_path, file_name, file_size)`` below a folder; contents are not read.
+
+    ``file_name`` is the path relative to the folder. The pattern is held against the last part of it,
+    regardless of case.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    # Paths come encoded as in a URL, but with plus signs as they are.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    root = folder.rstrip("/").removeprefix("file:") + "/"
+    listed = files.select(path.alias("file_path"), F.substring_index(path, root, -1).alias("file_name"),
+                          F.col("_metadata.file_size").alias("file_size"))
+    last = F.lower(F.substring_index("file_name", "/", -1))
+    return listed.filter(last.rlike("^" + fnmatch.translate(pattern.lower())))
 
 
 def read_matching(spark: SparkSession, folder: str, pattern: str) -> dict[str, DataFrame]:
-    """One text table per file whose name matches, keyed by name without ``.csv``.
+    """One text table per file whose name matches, keyed by its path below the folder without ``.csv``.
 
     Files may have different columns, so each keeps its own header.
     """
-    paths = [r.file_path for r in list_files(spark, folder, pattern).orderBy("file_path").toLocalIterator()]
-    names = [p.rsplit("/", 1)[-1].removesuffix(".csv") for p in paths]
-    return {n: read_text_table(spark, p) for n, p in zip(names, paths)}
+    found = list_files(spark, folder, pattern).orderBy("file_name").toLocalIterator()
+    return {r.file_name.removesuffix(".csv"): read_text_table(spark, r.file_path) for r in found}
 
 
 def copy_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Name (relative to the folder) and size of every data file, for comparing two copies."""
-    listed = list_files(spark, folder).filter(~F.col("file_name").rlike(r"^[._]"))
-    root = folder.rstrip("/").removeprefix("file:") + "/"
-    return listed.select(
-        F.substring_index("file_path", root, -1).alias("file_name"), "file_size"
-    )
+    hidden = F.substring_index("file_name", "/", -1).rlike(r"^[._]")
+    return list_files(spark, folder).filter(~hidden).select("file_name", "file_size")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -61,24 +61,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.format(fmt).save(path)
 
 
-def write_single_csv(df: DataFrame, path: str, most: int = SINGLE_FILE_ROWS) -> None:
-    """Exactly one CSV file at ``path``. Refuses more than ``most`` rows."""
-    spark = df.sparkSession
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows: write a directory with write_table instead")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, work = hadoop.Path(path), hadoop.Path(path + ".parts")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    write_table(df.coalesce(1), path + ".parts", "csv")
-    parts = [s.getPath() for s in fs.globStatus(hadoop.Path(work, "part-*.csv"))]
-    if len(parts) != 1:
-        raise RuntimeError(f"expected one part for {path}, found {len(parts)}")
-    fs.delete(target, True)
-    if not fs.rename(parts[0], target):
-        raise RuntimeError(f"could not move the part to {path}")
-    fs.delete(work, True)
-
-
 def inline_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few literal rows as a table; the schema is always stated."""
     return spark.createDataFrame(rows, schema)

@@ -28,8 +28,14 @@ def write_graph(
 
     With ``derive_edges`` the SENT and RECEIVED_BY edges are taken from the transactions just
     written, so a lazily built graph is evaluated only once.
+
+    Identical transactions have one id and are stored once; a graph built with ``occurrence`` gives
+    copies ids of their own and so keeps them.
     """
     spark = graph.accounts.sparkSession
+    # Nodes are merged by key and edges by their ends, as when a graph is loaded.
+    graph = graph.with_(transactions=graph.transactions.dropDuplicates(["transaction_id"]),
+                        sent=graph.sent.distinct(), received_by=graph.received_by.distinct())
     laid_out = graph.transactions.withColumn("sender_bucket", sender_bucket("from_account_key", buckets))
     # rebalance: AQE cuts a partition that one hot account fills, and joins small ones.
     laid_out = laid_out.hint("rebalance", *[F.col(p) for p in PARTITIONS]).sortWithinPartitions(

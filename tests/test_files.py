@@ -1,3 +1,4 @@
+import glob
 import os
 
 import pytest
@@ -33,30 +34,42 @@ def test_blank_and_null_text_in_csv(spark, tmp_path, rows):
     assert rows(spark.read.parquet(str(tmp_path / "p"))) == rows(df)
 
 
-def test_single_file(spark, tmp_path):
-    path = str(tmp_path / "one.csv")
-    for n in (10, 20):  # a second write replaces the first
-        files.write_single_csv(spark.range(n, numPartitions=3), path)
-        assert os.path.isfile(path) and files.read_text_table(spark, path).count() == n
-    assert [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["one.csv"]
-    with pytest.raises(ValueError, match="more than 5 rows"):
-        files.write_single_csv(spark.range(10), path, most=5)
+def test_names_of_files(spark, tmp_path):
+    """Blanks, plus signs, equal names in several folders, and any case."""
+    for folder in ("a b", "c+d"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "My Small.CSV").write_text("x\n1\n" if folder == "a b" else "y\n1\n2\n")
+    found = files.read_matching(spark, str(tmp_path), "*small*.csv")
+    assert {n: (df.columns, df.count()) for n, df in found.items()} == {
+        "a b/My Small.CSV": (["x"], 1), "c+d/My Small.CSV": (["y"], 2)}
+    sizes = {r.file_name: r.file_size for r in files.copy_manifest(spark, str(tmp_path)).collect()}
+    assert sizes == {"a b/My Small.CSV": 4, "c+d/My Small.CSV": 6}
 
 
-@pytest.mark.parametrize("single", [False, True])
-def test_bundle_and_reconciliation(spark, tmp_path, single):
+def test_bundle_and_reconciliation(spark, tmp_path):
     graph = hand_made(spark)
-    folder = export.write_export(graph, str(tmp_path), "v2", single_files=single)
+    folder = export.write_export(graph, str(tmp_path), "v2")
     checked = export.export_validation(export.read_export(spark, folder), export.export_frames(graph)).collect()
     assert len(checked) == 8 and all(r.count_matches for r in checked)
     assert {r.table_name: r.columns for r in checked}["owns"] == "entity_id,account_key"
-    if single:
-        manifest = files.copy_manifest(spark, folder)
-        sizes = {r.file_name: r.file_size for r in manifest.collect()}
-        assert sizes == {f: os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".csv")}
-        validate.require_same_files(manifest, manifest)
-        with pytest.raises(ValueError):
-            validate.require_same_files(manifest, manifest.filter("file_name <> 'sent.csv'"))
+    manifest = files.copy_manifest(spark, folder)
+    sizes = {r.file_name: r.file_size for r in manifest.collect()}
+    assert sizes == {os.path.relpath(f, folder): os.path.getsize(f) for f in glob.glob(f"{folder}/*/part-*")}
+    validate.require_same_files(manifest, manifest)
+    with pytest.raises(ValueError):
+        validate.require_same_files(manifest, manifest.filter("file_name not like 'sent/%'"))
+
+
+def test_copies_are_stored_once(spark, tmp_path, rows):
+    graph = hand_made(spark)
+    twice = graph.with_(transactions=graph.transactions.union(graph.transactions), sent=graph.sent.union(graph.sent),
+                        received_by=graph.received_by.union(graph.received_by))
+    for derive in (False, True):
+        stored = store.write_graph(twice, str(tmp_path / f"g{derive}"), buckets=4, derive_edges=derive)
+        for ask in (lambda g: retrieve.entity_relationship(g, P, C), lambda g: retrieve.entity_laundering(g, P),
+                    lambda g: retrieve.top_senders_by_currency(g, 5), lambda g: retrieve.top_senders_simple(g, 5)):
+            assert rows(ask(stored)) == rows(ask(graph))
+        assert stored.sent.count() == graph.sent.distinct().count()
 
 
 def test_missing_rows_are_reported(spark, tmp_path):

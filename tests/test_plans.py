@@ -139,17 +139,6 @@ def test_answers_do_not_change_under_skew_settings(spark, skewed, rows):
     assert missing[("SENT", "accounts")] == 4000
 
 
-def test_a_large_selection_is_staged_not_collected(spark, rows, monkeypatch):
-    from remitgraph.plans import staging
-
-    calls = []
-    monkeypatch.setattr(staging, "stage", lambda df, name="stage": calls.append(name) or stage(df, name))
-    kept = staging.settle(spark.range(20), "few", most=20)
-    assert not calls and rows(kept) == rows(spark.range(20))
-    kept = staging.settle(spark.range(21), "many", most=20)
-    assert calls == ["many"] and rows(kept) == rows(spark.range(21))
-
-
 def test_staged_data_lives_in_the_shared_folder(spark):
     staged = stage(spark.range(5), "x")
     folder = shared_folder(spark)
