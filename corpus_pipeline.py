@@ -16,12 +16,12 @@ from remitgraph.llm import bpe, language, mixing, neardup, secrets
 from remitgraph.llm.queries import VOCABULARY
 from remitgraph.plans.staging import stage
 
-LEAST_SCORE = 0.5  # of the language found
+BEYOND = 0.5  # score that the language found must exceed
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is found to be in a language that the rows themselves teach; none is known without labels."""
-    return language.keep_known(docs, language.fit(docs), LEAST_SCORE)
+    return language.keep_known(docs, language.fit(docs), BEYOND)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

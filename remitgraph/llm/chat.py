@@ -65,13 +65,13 @@ def fold(events: DataFrame) -> DataFrame:
     own = Window.partitionBy("conv_id", "message")
     earlier = Window.partitionBy("conv_id").orderBy("message").rangeBetween(Window.unboundedPreceding, -1)
     marked = log.select("*", F.max(F.when(F.col("event") == "regenerate", F.col("seq"))).over(earlier).alias("gone"),
-                        F.max(F.when(cut, F.col("seq"))).over(own).alias("anew"))
+                        F.max(F.when(cut, F.col("seq"))).over(own).alias("anew"),
+                        F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(own)["role"].alias("first"))
     kept = marked.filter((F.col("gone").isNull() | (F.col("seq") > F.col("gone"))) &
                          (F.col("anew").isNull() | (F.col("seq") >= F.col("anew"))))
     part = F.struct("seq", (~cut).alias("later"), F.coalesce("text", F.lit("")).alias("text"))
     whole = F.concat_ws("", F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]))
-    first = F.min(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))["role"]
-    return kept.groupBy("conv_id", "message").agg(F.coalesce(first, F.lit("")).alias("role"), whole.alias("text"))
+    return kept.groupBy("conv_id", "message").agg(F.coalesce(F.min("first"), F.lit("")).alias("role"), whole.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -157,7 +157,8 @@ def _scores(model: Model, words: list[str]) -> np.ndarray:
     uses = model.uses[_scripts(words)]
     narrowed = uses | ~uses.any(axis=1, keepdims=True)
     best = np.where(narrowed, out, -np.inf).max(axis=1, keepdims=True)
-    return np.where(narrowed, np.maximum(out - best, -WORD_MOST), -FOREIGN)
+    scores = np.where(narrowed, np.maximum(out - best, -WORD_MOST), -FOREIGN)
+    return np.where(uses.any(axis=1, keepdims=True), scores, 0.0)  # a script that no language uses says nothing
 
 
 def _viterbi(scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -274,14 +275,14 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>")
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows, with all their columns, whose language is found with a score of ``least`` or more."""
+def keep_known(docs: DataFrame, model: Model, beyond: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, whose language is found with a score above ``beyond``."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield batch.filter(pa.array([f[1] >= least for f in _label(shared.value, texts(batch))], pa.bool_()))
+            yield batch.filter(pa.array([f[1] > beyond for f in _label(shared.value, texts(batch))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
