@@ -61,14 +61,18 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edges(spark, docs):
-    rows = [(i, f"good day number {i}. you are a clown today" if i % 2 else f"good day number {i}. all is well today")
-            for i in range(200)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    rng = np.random.default_rng(1)
+
+    def some():  # sentences that are not copies of each other
+        return " ".join(f"w{n}" for n in rng.integers(0, 60, 8))
+
+    rows = [(i, f"{some()}. {some()} clown {some()}" if i % 2 else f"{some()}. {some()}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs(rows), labels)
-    text = "good morning. you are a clown! bye"
-    found = {r.doc_id: r for r in toxicity.score(docs([(1, text), (2, None), (3, ""), (4, "all is well")]), model).collect()}
+    text = "w1 w2 w3. w4 w5 clown! w6"
+    found = {r.doc_id: r for r in toxicity.score(docs([(1, text), (2, None), (3, ""), (4, "w1 w2 w3 w4")]), model).collect()}
     assert found[1].score > 0.9 > 0.3 > found[4].score and found[2].score == found[3].score == 0
-    assert [text[s.start:s.end] for s in found[1].sentences] == [" you are a clown"]
+    assert [text[s.start:s.end] for s in found[1].sentences] == [" w4 w5 clown"]
     blank = toxicity.fit(docs(rows), labels.limit(0))
     assert 0 <= toxicity.score(docs(rows), blank).first().score <= 1
 
