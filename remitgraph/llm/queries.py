@@ -106,11 +106,11 @@ FROM joined""",
 WITH RECURSIVE words AS (
   SELECT row_number() OVER () AS r, doc_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                           '[ \\x09-\\x0D]+'), w -> w <> '') AS w
+                                           '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) END AS s
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) END AS s
   FROM words),
 classes AS (SELECT list_sort(s) AS s, min(doc_id) AS c FROM sets WHERE len(s) > 0 GROUP BY 1),
 parts AS (SELECT c, len(s) AS n, unnest(s) AS p FROM classes),
