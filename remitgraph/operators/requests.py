@@ -33,12 +33,26 @@ INTENT_COLUMNS = {
 }
 
 
+REPEATED = "the request id is repeated"
+
+
+def _repeated(requests: DataFrame) -> DataFrame:
+    counts = requests.groupBy("request_id").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > 1).select("request_id")
+
+
 def request_status(requests: DataFrame) -> DataFrame:
-    """Per request: OK, UNSUPPORTED or ERROR, with the reason, and the effective ``top_n``."""
+    """Per request: OK, UNSUPPORTED or ERROR, with the reason, and the effective ``top_n``.
+
+    Requests that share an id are in error: their evidence could not be told apart.
+    """
     intent = F.col("intent")
+    repeated = _repeated(requests).select(F.col("request_id").alias("_id"), F.lit(True).alias("_repeated"))
+    requests = requests.join(repeated, F.col("request_id").eqNullSafe(F.col("_id")), "left")
     two = c.missing("source_entity_name", trim=False) | c.missing("target_entity_name", trim=False)
     error = (
-        F.when((intent == RELATIONSHIP) & two, "two entity names are required")
+        F.when(F.col("_repeated"), REPEATED)
+        .when((intent == RELATIONSHIP) & two, "two entity names are required")
         .when((intent == LAUNDERING) & c.missing("entity_name", trim=False), "an entity name is required")
         .when(~F.coalesce(intent.isin(*INTENT_COLUMNS, UNSUPPORTED), F.lit(False)), "unknown intent")
     )
@@ -97,8 +111,7 @@ def laundering_evidence(
     asked = _valid(requests, LAUNDERING, "entity_name").select(
         "request_id", F.col("entity_name").alias("searched_entity"))
     names = asked.select(F.col("searched_entity").alias("entity_name")).distinct()
-    paths = r.laundering_paths(graph, _accounts_of(graph, names))
-    first = r.first_laundering_rows(graph, paths, limit)
+    first = r.first_laundering_rows(graph, _accounts_of(graph, names), limit)
     return first.join(asked, "searched_entity").select("request_id", *r.LAUNDERING_COLUMNS)
 
 
@@ -119,16 +132,21 @@ def answer_requests(graph: GraphTables, requests: DataFrame) -> DataFrame:
     """Evidence for all requests, with the columns of every intent side by side.
 
     ``row_number`` counts the rows of a request in their final order. An invalid request gives one
-    row with ``error`` set; an unsupported one, or one without matches, gives none.
+    row with ``error`` set; an unsupported one, or one without matches, gives none. Requests that
+    share an id give one row with ``error`` set and no intent.
     """
     requests = stage(requests, "requests")
+    repeated = _repeated(requests)
+    single = requests.join(repeated.withColumnRenamed("request_id", "_id"),
+                           F.col("request_id").eqNullSafe(F.col("_id")), "left_anti")
     parts = {
-        RELATIONSHIP: relationship_evidence(graph, requests),
-        LAUNDERING: laundering_evidence(graph, requests),
-        TOP_SENDERS: top_sender_evidence(graph, requests),
+        RELATIONSHIP: relationship_evidence(graph, single),
+        LAUNDERING: laundering_evidence(graph, single),
+        TOP_SENDERS: top_sender_evidence(graph, single),
     }
-    errors = request_status(requests).filter(F.col("status") == "ERROR")
-    evidence = errors.select("request_id", "intent", "error")
+    errors = request_status(single).filter(F.col("status") == "ERROR")
+    evidence = errors.select("request_id", "intent", "error").unionByName(repeated.select(
+        "request_id", F.lit(None).cast("string").alias("intent"), F.lit(REPEATED).alias("error")))
     for intent, rows in parts.items():
         evidence = evidence.unionByName(rows.withColumn("intent", F.lit(intent)), allowMissingColumns=True)
     return _numbered(evidence)

@@ -12,9 +12,9 @@ other (``subject_transactions``, ``pair_transactions``, the sender counts) it do
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
@@ -23,6 +23,7 @@ from remitgraph.plans.tables import OWNS, RECEIVED_BY, SENT, GraphTables
 
 MAX_ROWS = 50
 MAX_SENDERS = 20
+OWNED, BANKED = ("from_owned", "to_owned"), ("from_banked", "to_banked")
 LIMIT_MODES = ("per_branch", "last_branch", "combined")
 
 # Names of the directions in results.
@@ -40,6 +41,30 @@ LAUNDERING_COLUMNS = [
 ]
 
 
+def _flagged(*flags: str) -> Column:
+    """A condition on stored transfers, see ``known_ends``."""
+    return reduce(Column.__and__, [F.col(flag) for flag in flags])
+
+
+def known_ends(graph: GraphTables) -> DataFrame:
+    """Transactions with flags: whether each side has an owner and a bank, and whether two owners can be told apart.
+
+    ``between_owners`` is false only for a transfer from an account to itself that has one owner.
+    """
+    owned = owners(graph).select("account_key", "entity_id").distinct().groupBy("account_key").agg(
+        (F.count("*") > 1).alias("several")).withColumn("owned", F.lit(True))
+    banked = account_banks(graph).select("account_key").distinct().withColumn("banked", F.lit(True))
+    known = owned.join(banked, "account_key", "full_outer")
+    rows, columns = graph.transactions, graph.transactions.columns
+    for side in ("from", "to"):
+        facts = known.select(*[F.col(n).alias(f"_{side}_{n}") for n in known.columns])
+        rows = rows.join(facts, F.col(f"{side}_account_key") == F.col(f"_{side}_account_key"), "left")
+    several = F.coalesce("_from_several", F.lit(False))
+    flags = {f"{side}_{n}": F.coalesce(f"_{side}_{n}", F.lit(False)) for side in ("from", "to") for n in ("owned", "banked")}
+    flags["between_owners"] = ~F.col("from_account_key").eqNullSafe(F.col("to_account_key")) | several
+    return rows.select(*[n for n in columns if n not in flags], *[flag.alias(n) for n, flag in flags.items()])
+
+
 def time_order(*ties: str) -> list[Column]:
     """By time, nulls last, then by id and the given columns: a total order over result rows."""
     return [F.col("timestamp").asc_nulls_last(), F.col("transaction_id"), *[F.col(t) for t in ties]]
@@ -207,12 +232,13 @@ def subject_sides(rows: DataFrame) -> DataFrame:
     ])
 
 
-def laundering_paths(graph: GraphTables, subjects: DataFrame) -> DataFrame:
+def laundering_paths(graph: GraphTables, subjects: DataFrame, where: Column | None = None) -> DataFrame:
     """Labelled transfers of the subjects, one row per direction, before banks and counterparty.
 
-    ``subjects`` holds ``account_key, entity_id, entity_name``.
+    ``subjects`` holds ``account_key, entity_id, entity_name``; ``where`` is a further condition.
     """
-    sides = subject_sides(labelled(graph))
+    chosen = F.col("is_laundering") if where is None else F.col("is_laundering") & where
+    sides = subject_sides(transfers(graph, chosen))
     s = prefixed(subjects, "subject")
     return sides.join(s, F.col("subject_account") == F.col("subject_account_key"))
 
@@ -254,39 +280,24 @@ LAUNDERING_TIES = [
     "searched_entity_id", "counterparty_id", "searched_entity_bank", "counterparty_bank",
 ]
 LAUNDERING_GROUP = ["searched_entity", "direction"]
-_LOOK_AHEAD = 4  # transfers looked at per wanted row before the whole set is joined
 
 
-def first_laundering_rows(
-    graph: GraphTables, paths: DataFrame, limit: int, keep: Callable[..., DataFrame] = stage
-) -> DataFrame:
+def first_laundering_rows(graph: GraphTables, subjects: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` result rows per searched name and direction; exact.
 
-    Only the earliest few transfers of a group are joined to the account tables. A group is done
-    when that gave enough rows, or when the group had no more transfers than were looked at. The
-    remaining groups, if any, are joined in full. ``keep`` evaluates what is looked at.
+    A stored graph knows which transfers have both ends: each of their paths gives at least one row,
+    and rows are in the order of their paths first. So the first ``limit`` paths of a group, equal
+    ones included, hold its first ``limit`` rows, and only these meet the account tables.
     """
-    group, look = LAUNDERING_GROUP, limit * _LOOK_AHEAD
-    named = F.col("subject_entity_name")
-    by_time = time_order("subject_account", "other_account", "subject_entity_id")
-    ahead = keep(top_per_group(paths.withColumn(group[0], named), group, by_time, look), "paths")
-    order = time_order(*LAUNDERING_TIES)
-
-    # Results are sure up to, not including, the time and id of the last transfer looked at.
-    at = F.struct(F.col("timestamp").isNull(), "timestamp", "transaction_id")
-    edge = ahead.filter(F.col("row_number") == look).select(*group, at.alias("edge"))
-    sure = attach_parties(graph, ahead.drop("row_number", group[0]), few=True).join(edge, group, "left")
-    sure = sure.filter(F.col("edge").isNull() | (at < F.col("edge"))).drop("edge")
-    quick = keep(top_per_group(sure, group, order, limit), "evidence")
-
-    full = quick.filter(F.col("row_number") == limit).select(*group)
-    left_over = edge.select(*group).join(full, group, "left_anti")
-    if left_over.isEmpty():
-        return quick.select(*LAUNDERING_COLUMNS)
-    left_over = stage(left_over, "groups")
-    again = paths.withColumn(group[0], named).join(left_over, group, "left_semi").drop(group[0])
-    rest = top_per_group(attach_parties(graph, again), group, order, limit)
-    return quick.join(left_over, group, "left_anti").unionByName(rest).select(*LAUNDERING_COLUMNS)
+    if graph.stored:
+        first = Window.partitionBy("subject_entity_name", "direction").orderBy(*time_order("subject_entity_id"))
+        paths = laundering_paths(graph, subjects, _flagged(*OWNED, *BANKED, "between_owners"))
+        paths = paths.withColumn("place", F.rank().over(first)).filter(F.col("place") <= limit).drop("place")
+        rows = attach_parties(graph, stage(paths, "paths"), few=True)
+    else:
+        rows = attach_parties(graph, laundering_paths(graph, subjects))
+    first_rows = top_per_group(rows, LAUNDERING_GROUP, time_order(*LAUNDERING_TIES), limit)
+    return first_rows.select(*LAUNDERING_COLUMNS)
 
 
 def labelled(graph: GraphTables) -> DataFrame:
@@ -298,11 +309,11 @@ def entity_laundering(
     limit: int | None = MAX_ROWS, limit_mode: str = "per_branch",
 ) -> DataFrame:
     """Labelled transfers out of and into one named entity, with counterparty and both banks."""
-    paths = laundering_paths(graph, named_accounts(graph, [name]))
+    subjects = named_accounts(graph, [name])
     if limit is not None and limit_mode == "per_branch":
-        rows = first_laundering_rows(graph, paths, limit, stage)
+        rows = first_laundering_rows(graph, subjects, limit)
     else:
-        rows = attach_parties(graph, paths)
+        rows = attach_parties(graph, laundering_paths(graph, subjects))
     return _limited(rows, (OUTGOING, INCOMING), LAUNDERING_TIES, limit, limit_mode)
 
 
@@ -333,29 +344,22 @@ def top_senders_simple(graph: GraphTables, n: int = 5) -> DataFrame:
 
 def top_senders_by_currency(graph: GraphTables, top_n: int | None = 5) -> DataFrame:
     """One row per currency of each of the top senders, with the sender's rank."""
-    n = min(max(5 if top_n is None else top_n, 1), MAX_SENDERS)
-    totals = sender_totals(graph)
-    counts = totals.groupBy("entity_id", "entity_name").agg(
-        F.sum("transaction_count").alias("laundering_transaction_count"))
-    order = [F.desc("laundering_transaction_count"), F.col("entity_id")]
-    top = counts.orderBy(*order).limit(n)
-    # At most 20 rows, so the broadcast is safe at any scale.
-    return totals.join(F.broadcast(top), ["entity_id", "entity_name"]).select(
-        "entity_id", "entity_name", "laundering_transaction_count",
-        "currency", "transaction_count", "total_amount",
-    )
+    return top_laundering_senders(graph, top_n).select(
+        "entity_id", "entity_name", "laundering_transaction_count", F.inline("totals_by_currency"))
 
 
 def top_laundering_senders(graph: GraphTables, top_n: int | None = 5) -> DataFrame:
     """Top senders of labelled transfers, each with a list of per-currency totals.
 
-    ``top_n`` is brought into 1..20, default 5. Lists are built only for the chosen entities.
+    ``top_n`` is brought into 1..20, default 5. An entity's list has an entry per currency, so it is
+    short; carrying it along spares a second scan for the chosen entities.
     """
-    rows = top_senders_by_currency(graph, top_n)
+    n = min(max(5 if top_n is None else top_n, 1), MAX_SENDERS)
     entry = F.struct("currency", "transaction_count", "total_amount")
-    return rows.groupBy("entity_id", "entity_name", "laundering_transaction_count").agg(
-        F.array_sort(F.collect_list(entry)).alias("totals_by_currency")
-    ).orderBy(F.desc("laundering_transaction_count"), "entity_id")
+    senders = sender_totals(graph).groupBy("entity_id", "entity_name").agg(
+        F.sum("transaction_count").alias("laundering_transaction_count"),
+        F.array_sort(F.collect_list(entry)).alias("totals_by_currency"))
+    return senders.orderBy(F.desc("laundering_transaction_count"), "entity_id").limit(n)
 
 
 def _capped(limit: int | None) -> int:
@@ -368,13 +372,16 @@ def subject_transactions(graph: GraphTables, name: str, limit: int | None = MAX_
     A transfer between two accounts of the entity appears once for each; a transfer from an
     account to itself once, as OUTGOING. At most 50 rows.
     """
-    subjects = prefixed(named_accounts(graph, [name], any_case=True), "subject")
-    seen = subject_sides(labelled(graph)).filter(
-        (F.col("direction") == OUTGOING) | (F.col("from_account_key") != F.col("to_account_key"))
-    ).join(subjects, F.col("subject_account") == F.col("subject_account_key"))
-    all_owners = owners(graph)
-    rows = _with_ends(seen, all_owners, all_owners)
+    subjects = named_accounts(graph, [name], any_case=True)
+    seen = laundering_paths(graph, subjects, _flagged(*OWNED) if graph.stored else None).filter(
+        (F.col("direction") == OUTGOING) | (F.col("from_account_key") != F.col("to_account_key")))
     ties = ["direction", "subject_entity_id", "sender_entity_id", "receiver_entity_id"]
+    if graph.stored:  # as in first_laundering_rows: the first paths hold the first rows
+        seen = stage(seen.orderBy(*time_order(*ties[:2])).limit(_capped(limit)), "paths")
+        ends = _owners_of(graph, seen)
+    else:
+        ends = owners(graph)
+    rows = _with_ends(seen, ends, ends)
     return rows.orderBy(*time_order(*ties)).limit(_capped(limit)).select(
         F.col("subject_entity_id").alias("searched_entity_id"),
         F.col("subject_entity_name").alias("searched_entity"),
@@ -412,30 +419,30 @@ def pair_transactions(graph: GraphTables, a: str, b: str, limit: int | None = MA
         "source_entity_id", "target_entity_id")
 
 
-def entity_paths(graph: GraphTables, rows: DataFrame | None = None) -> DataFrame:
-    """Every entity - account - transaction - account - entity path, as flat rows."""
-    all_owners = owners(graph)
-    return _with_ends(transfers(graph) if rows is None else rows, all_owners, all_owners).filter(
-        distinct_ends())
+def _owners_of(graph: GraphTables, few: DataFrame) -> DataFrame:
+    """Owners of the accounts of a few staged transfers; the owner table is only scanned."""
+    keys = few.select(F.explode(F.array("from_account_key", "to_account_key")).alias("account_key"))
+    return owners(graph).join(keys, "account_key", "left_semi")
+
+
+def entity_paths(graph: GraphTables, few: DataFrame | None = None) -> DataFrame:
+    """Every entity - account - transaction - account - entity path, or those of a few staged transfers."""
+    ends = owners(graph) if few is None else _owners_of(graph, few)
+    return _with_ends(transfers(graph) if few is None else few, ends, ends).filter(distinct_ends())
 
 
 def transaction_paths(graph: GraphTables, n: int = 10) -> DataFrame:
     """The first n whole paths by transaction id, as nested nodes plus the edge types.
 
-    The n paths come from the smallest ids, so a few hundred transactions are usually enough; all
-    are joined only if those do not give n paths.
+    Of a stored graph the first n transfers that have owners at both ends are enough: ids are unique
+    there, and each of these gives at least one path.
     """
     order = ["transaction_id", "sender_entity_id", "receiver_entity_id"]
-    look = n * 100
-    rows = transfers(graph)
-    few = stage(rows.orderBy("transaction_id", "from_account_key", "to_account_key").limit(look), "ids")
-    last = few.agg(F.max("transaction_id").alias("m"), F.count("*").alias("n")).first()
+    few = None
+    if graph.stored:
+        whole = transfers(graph, _flagged(*OWNED, "between_owners"))
+        few = stage(whole.orderBy("transaction_id").limit(n), "transfers")
     paths = entity_paths(graph, few)
-    if last.n == look:
-        paths = paths.filter(F.col("transaction_id") < last.m)
-        paths = stage(paths.orderBy(*order).limit(n), "paths")
-        if paths.count() < n:
-            paths = entity_paths(graph)
     node = {
         "sender_entity": F.struct(F.col("sender_entity_id").alias("id"), F.col("sender_entity_name").alias("name")),
         "sender_account": F.struct(F.col("from_account_key").alias("account_key")),

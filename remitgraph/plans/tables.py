@@ -62,8 +62,9 @@ TABLES = list(SCHEMAS)
 class GraphTables:
     """Eight lazy DataFrames that together form one graph.
 
-    A stored graph also has the two lookups that paths are completed with, written once, and says
-    into how many buckets of the sending account its transactions are divided.
+    A stored graph also has the two lookups that paths are completed with, written once, flags on
+    its transactions that say which of them have both ends, and the number of buckets of the sending
+    account that they are divided into.
     """
 
     accounts: DataFrame
@@ -81,6 +82,11 @@ class GraphTables:
     def items(self) -> Iterator[tuple[str, DataFrame]]:
         return ((name, getattr(self, name)) for name in TABLES)
 
+    @property
+    def stored(self) -> bool:
+        """Whether the transactions say what is known of their ends, as ``write_graph`` stores them."""
+        return "between_owners" in self.transactions.columns
+
     def with_(self, **tables: DataFrame) -> GraphTables:
         return replace(self, **tables)
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from remitgraph.operators import build
-from remitgraph.operators.retrieve import account_banks, owners, sender_bucket
+from remitgraph.operators.retrieve import account_banks, known_ends, owners, sender_bucket
 from remitgraph.plans.tables import TABLES, GraphTables
 
+OF_ACCOUNTS = ("accounts", "banks", "entities", "owns", "held_at")
+
 LOOKUPS = ("account_owners", "account_banks")
 BUCKETS = 64
 PARTITIONS = ("is_laundering", "sender_bucket")
@@ -36,7 +38,18 @@ def write_graph(
     # Nodes are merged by key and edges by their ends, as when a graph is loaded.
     graph = graph.with_(transactions=graph.transactions.dropDuplicates(["transaction_id"]),
                         sent=graph.sent.distinct(), received_by=graph.received_by.distinct())
-    laid_out = graph.transactions.withColumn("sender_bucket", sender_bucket("from_account_key", buckets))
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    graph = graph.with_(**{name: keep(name, getattr(graph, name)) for name in OF_ACCOUNTS},
+                        account_owners=None, account_banks=None)
+    graph = graph.with_(
+        account_owners=keep("account_owners", owners(graph).orderBy("entity_name", "account_key")),
+        account_banks=keep("account_banks", account_banks(graph).orderBy("account_key")))
+
+    laid_out = known_ends(graph).withColumn("sender_bucket", sender_bucket("from_account_key", buckets))
     # rebalance: AQE cuts a partition that one hot account fills, and joins small ones.
     laid_out = laid_out.hint("rebalance", *[F.col(p) for p in PARTITIONS]).sortWithinPartitions(
         *PARTITIONS, "from_account_key")
@@ -44,14 +57,9 @@ def write_graph(
     if derive_edges:
         written = _transactions(spark, path)
         graph = graph.with_(sent=build.sent(written), received_by=build.received_by(written))
-    for name, df in graph.items():
-        if name != "transactions":
-            df.write.parquet(f"{path}/{name}")
-
-    stored = read_graph(spark, path, lookups=False)
-    owners(stored).orderBy("entity_name", "account_key").write.parquet(f"{path}/account_owners")
-    account_banks(stored).orderBy("account_key").write.parquet(f"{path}/account_banks")
-    bucket_count(stored, buckets).write.parquet(f"{path}/layout")
+    for name in ("sent", "received_by"):
+        keep(name, getattr(graph, name))
+    keep("layout", bucket_count(graph, buckets))
     return read_graph(spark, path)
 
 
@@ -68,11 +76,9 @@ def bucket_count(graph: GraphTables, buckets: int) -> DataFrame:
     return graph.accounts.sparkSession.range(1).select(F.lit(buckets).alias("sender_buckets"))
 
 
-def read_graph(spark: SparkSession, path: str, lookups: bool = True) -> GraphTables:
+def read_graph(spark: SparkSession, path: str) -> GraphTables:
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES if n != "transactions"}
     tables["transactions"] = _transactions(spark, path)
-    if not lookups:
-        return GraphTables(**tables)
     tables |= {name: spark.read.parquet(f"{path}/{name}") for name in LOOKUPS}
     buckets = spark.read.parquet(f"{path}/layout").first().sender_buckets
     return GraphTables(**tables, sender_buckets=buckets)

@@ -43,7 +43,7 @@ def test_batches_have_no_nested_loops(spark, graph):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["relationship", "pair"])
+@pytest.mark.parametrize("name", ["relationship", "pair", "senders"])
 def test_both_directions_come_from_one_scan(graph, name):
     assert plan(QUESTIONS[name](graph)).count("lineitem.parquet") == 1
 
@@ -62,6 +62,23 @@ def test_labelled_questions_read_only_the_labelled_partition(spark, tmp_path):
     assert "ReadSchema: struct<from_account_key:string,amount_paid:double,payment_currency:string>" in text
 
 
+def test_stored_questions_cut_paths_before_any_join(spark, tmp_path, monkeypatch):
+    stored = store.write_graph(hand_made(spark), str(tmp_path / "g"), buckets=2)
+    staged = {}
+
+    def look(df, name):
+        staged[name] = plan(df)
+        return stage(df, name)
+
+    monkeypatch.setattr(retrieve, "stage", look)
+    retrieve.entity_laundering(stored, P)
+    assert staged["paths"].count("FileScan") == 2 and "WindowGroupLimit" in staged["paths"]  # transfers, named accounts
+    retrieve.subject_transactions(stored, P)
+    assert "TakeOrderedAndProject" in staged["paths"] and "account_banks" not in staged["paths"]
+    retrieve.transaction_paths(stored)
+    assert "Join" not in staged["transfers"] and "TakeOrderedAndProject" in staged["transfers"]
+
+
 def test_groups_are_cut_before_the_shuffle(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     text = plan(top_per_group(df, ["g"], [F.col("id")], 5))

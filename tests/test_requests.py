@@ -75,6 +75,17 @@ def test_small_limits_equal_single_questions(graph, asked, rows):
     assert rows(got) == rows(r.entity_laundering(graph, P, limit=1))
 
 
+def test_repeated_ids_are_errors(spark, graph):
+    asked = spark.createDataFrame([
+        (1, "TOP_LAUNDERING_SENDERS", None, None, None, 2), (1, "TOP_LAUNDERING_SENDERS", None, None, None, 3),
+        (2, "TOP_LAUNDERING_SENDERS", None, None, None, 2)], REQUEST_SCHEMA)
+    evidence = rq.answer_requests(graph, asked)
+    assert [(x.request_id, x.error) for x in evidence.orderBy("request_id", "row_number").collect()] == [
+        (1, rq.REPEATED), (2, None), (2, None)]
+    packed = rq.evidence_pack(evidence, asked).orderBy("request_id").collect()
+    assert [(x.request_id, x.status, x.evidence_row_count) for x in packed] == [(1, "ERROR", 0), (1, "ERROR", 0), (2, "OK", 2)]
+
+
 def test_pack(evidence, asked):
     packed = {x.request_id: x for x in rq.evidence_pack(evidence, asked, most=2).collect()}
     assert set(packed) == set(range(1, 14))
