@@ -2,7 +2,8 @@
 
 Names in hosts often run several words together. Each label of a host is split by a unigram Viterbi
 pass: candidates are those of its substrings that are words of the corpus, found by a join with the
-word counts, so no vocabulary has to fit anywhere. Only different labels are split. A multinomial
+word counts, so no vocabulary has to fit anywhere, and stretches of any letters, the less likely the
+longer. What a host's own pages say never makes its label a word. Only different labels are split. A multinomial
 naive Bayes model over the words of hosts and the tokens of paths, counted in a fixed number of
 buckets, judges what no rule fits; it learns from the urls that rules do fit, and from a few
 words that are known to be good or bad, counted as so many urls.
@@ -24,6 +25,8 @@ from remitgraph.llm.arrow import prepare
 from remitgraph.plans.staging import stage
 
 LONGEST = 24  # characters of a word within a label
+SHORT, SHORT_COST = 3, 6.0  # a part of fewer letters, beside others, is less likely by so many nats for each that is missing
+LETTERS = 26  # a word that was never seen is spelt with so many letters, each as likely
 BUCKETS = 1 << 16
 ALLOW, BLOCK = "allow", "block"
 # Rules: host and path it fits, verdict. A parameter; these are the production values.
@@ -62,23 +65,39 @@ def labels_of(host: Column) -> Column:
     return F.filter(F.split(host, r"[^\p{L}\p{N}]+", -1), lambda p: p != "")
 
 
-def word_counts(pages: DataFrame) -> DataFrame:
-    """Words and how often they occur in titles, host parts and paths of all pages."""
+def word_counts(pages: DataFrame, known: Sequence[str] = ()) -> DataFrame:
+    """Words, how often they occur (n), and how much of that stands for labels of hosts (own).
+
+    Words of titles and paths count wherever they occur, but not those that a host says of its own labels.
+    A label counts once for every different host that has it beyond the first, a word known once more.
+    """
     host, path = host_and_path(F.col("url"))
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title>([^<]*)</title>", 1)
-    words = F.concat(labels_of(host), labels_of(lower(path)), labels_of(F.lower(title)))
-    return (pages.select(F.explode(words).alias("word")).filter(F.char_length("word") <= LONGEST)
-            .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    split = pages.select(labels_of(host).alias("labels"),
+                         F.concat(labels_of(lower(path)), labels_of(F.lower(title))).alias("words"))
+    said = split.select(F.explode(F.filter("words", lambda w: ~F.array_contains("labels", w))).alias("word"))
+    named = pages.select(host.alias("host")).distinct().select(F.explode(F.array_distinct(labels_of(F.col("host")))).alias("word"))
+    listed = pages.sparkSession.createDataFrame([(w,) for w in known], "word string")
+    both = said.withColumn("own", F.lit(0)).unionByName(named.withColumn("own", F.lit(1))).unionByName(listed.withColumn("own", F.lit(0)))
+    own = F.greatest(F.sum("own") - 1, F.lit(0))
+    return (both.filter(F.char_length("word") <= LONGEST).groupBy("word")
+            .agg((F.count(F.lit(1)) - F.sum("own") + own).alias("n"), own.alias("own")).filter("n > 0"))
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """label and its words (an array) for every different label; what no words cover stays together.
 
-    The likeliest split under the word counts. The label itself does not count as a word where it
-    occurs once only. Of equally likely splits the one with the longer last word holds.
+    The likeliest split under the word counts. A stretch of letters that is no word is as likely as a new
+    word is (by the share of words counted once) and its spelling. The label itself counts as a word
+    only as often as others say it, without ``own`` if the counts have it. Short words are less likely parts. Of equally likely splits
+    the one with the longer last word holds.
     """
     prepare(labels.sparkSession)
-    total = counts.agg(F.sum("n")).first()[0] or 1
+    if "own" not in counts.columns:
+        counts = counts.withColumn("own", F.lit(0))
+    sums = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).first()
+    total = sums["n"] or 1
+    new = math.log((sums["once"] + 1) / (total + 1)) if sums["once"] < total else 0.0
     different = labels.select("label").distinct()
     n = F.char_length("label")
     starts = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
@@ -86,38 +105,48 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
         lambda k: F.struct(i.alias("at"), F.substring("label", i, k).alias("word"))))
     parts = different.select("label", F.explode(F.flatten(starts)).alias("part")).select("label", "part.at", "part.word")
     scored = (parts.join(counts, "word")
-              .filter((F.col("word") != F.col("label")) | (F.col("n") > 1))
+              .withColumn("n", F.col("n") - F.when(F.col("word") == F.col("label"), F.col("own")).otherwise(0))
+              .filter("n > 0")
               .groupBy("label").agg(F.collect_list(F.struct("at", F.char_length("word").alias("size"), "n")).alias("parts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("label").to_pylist()
-            out = [_viterbi(a, p or [], total) for a, p in zip(names, batch.column("parts").to_pylist(), strict=True)]
+            out = [_viterbi(a, p or [], total, new) for a, p in zip(names, batch.column("parts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.list_(pa.string()))], ["label", "words"])
 
     return different.join(scored, "label", "left").mapInArrow(run, "label string, words array<string>")
 
 
-def _viterbi(label: str, parts: list[dict], total: int) -> list[str]:
+def _viterbi(label: str, parts: list[dict], total: int, new: float) -> list[str]:
     n = len(label)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for p in parts:
-        ending[p["at"] - 1 + p["size"]].append((p["at"] - 1, math.log(p["n"] / total)))
-    unknown = -math.log(total + 1.0) - 5.0  # of a character that is no word
-    best, came, strange = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
+        cost = SHORT_COST * max(SHORT - p["size"], 0) if p["size"] < n else 0.0
+        ending[p["at"] - 1 + p["size"]].append((p["at"] - 1, math.log(p["n"] / total) - cost))
+    letter = -math.log(LETTERS)
+    # The best split up to each place whose last part is a word, or a stretch of letters, and where that part begins.
+    word, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    odd, began = [-math.inf] * (n + 1), [0] * (n + 1)
+    long, opened = [-math.inf] * (n + 1), [0] * (n + 1)  # of stretches that are not short
     for end in range(1, n + 1):
-        for start, value, odd in sorted([*[(*e, False) for e in ending[end]], (end - 1, unknown, True)]):
-            if best[start] + value > best[end]:
-                best[end], came[end], strange[end] = best[start] + value, start, odd
+        for start, value in sorted(ending[end]):
+            if max(word[start], odd[start]) + value > word[end]:
+                word[end], came[end] = max(word[start], odd[start]) + value, start
+        least = min(SHORT, n)
+        if end >= least:
+            long[end], opened[end] = max((long[end - 1] + letter, opened[end - 1]),
+                                         (word[end - least] + new + least * letter, end - least))
+        odd[end], began[end] = max([(long[end], opened[end]), *[
+            (word[end - size] + new + size * letter - SHORT_COST * (SHORT - size), end - size)
+            for size in range(1, min(least, end + 1))]])
     words: list[str] = []
-    end, joining = n, False
+    end, strange = n, False  # a stretch follows a word only
     while end > 0:
-        start = came[end]
-        if joining and strange[end]:
-            words[-1] = label[start:end] + words[-1]
-        else:
-            words.append(label[start:end])
-        joining, end = strange[end], start
+        strange = not strange and odd[end] > word[end]
+        start = began[end] if strange else came[end]
+        words.append(label[start:end])
+        end = start
     return words[::-1]
 
 
@@ -165,7 +194,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = tuple(RULES)
     base = split.select("*", rule.alias("rule"), verdict.alias("verdict"))
     hosts = base.select("host").distinct().select("host", labels_of(F.col("host")).alias("labels"))
     parts = hosts.select("host", F.posexplode("labels").alias("at", "label"))
-    segmented = segment(parts, word_counts(pages))
+    segmented = segment(parts, word_counts(pages, sorted({w for words in known.values() for w in words})))
     by_host = (parts.join(segmented, "label").groupBy("host")
                .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda p: p["words"])).alias("words")))
     empty = F.array().cast("array<string>")

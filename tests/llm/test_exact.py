@@ -127,6 +127,18 @@ def test_urls(spark):
     assert {r.label: r.words for r in found.collect()} == {"cheappills": ["cheap", "pills"], "qq": ["qq"]}
 
 
+def test_urls_split_hosts_of_many_pages(spark):
+    said = ["cheap flights and good food", "pills for the free market", "a cheap example of pills", "the market of free ideas"] * 5
+    pages = ([(i, f"https://shop{i}.info/the/food", f"<title>{t}</title>") for i, t in enumerate(said)] +
+             [(100 + i, f"https://cheappills.biz/cheappills/{i}", "<title>CheapPills</title>") for i in range(300)] +
+             [(500 + i, f"https://cheappills{i}.market.biz/", None) for i in range(3)])
+    for often in (1, 300):  # no matter how many pages the host has
+        some = spark.createDataFrame([p for p in pages if not 100 + often <= p[0] < 500], "page_id long, url string, html string")
+        found = {r.host: r for r in urls.judge(some, rules=(), known={"block": ("cheap", "pills"), "allow": ()}).collect()}
+        assert found["cheappills.biz"].words == ["cheap", "pills", "biz"]
+        assert found["cheappills0.market.biz"].words[:2] == ["cheap", "pills"] and "market" in found["cheappills0.market.biz"].words
+
+
 def test_mix(spark, docs, rows):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     table = table.unionByName(table.limit(5).withColumn("source", F.lit(None).cast("string")))
