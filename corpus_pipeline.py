@@ -16,11 +16,11 @@ from remitgraph.llm import bpe, language, mixing, neardup, secrets
 from remitgraph.llm.queries import VOCABULARY
 from remitgraph.plans.staging import stage
 
-BEYOND = 0.5  # score that the language found must exceed
+BEYOND = 0.5  # share of a text found in known languages must exceed it
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is found to be in a language that the rows themselves teach; none is known without labels."""
+    """Rows whose text is found to be in languages that the rows themselves teach; none is known without labels."""
     return language.keep_known(docs, language.fit(docs), BEYOND)
 
 

@@ -215,6 +215,26 @@ def _spans(text: str, words: list[str], labels: np.ndarray, languages: list[str]
             for i, a, b in zip(changes, starts, [*starts[1:], len(text)], strict=True)]
 
 
+def _known(model: Model, strings: pa.Array) -> np.ndarray:
+    """For each text, the share of its letters in spans of any language, each times how sure the span's language is."""
+    if not model.languages:
+        return np.zeros(len(strings))
+    bounds, words, different = _words(strings)
+    scores = _scores(model, different)[words]
+    labels = _viterbi(scores, bounds)
+    letters = np.array([len(w) for w in different], dtype=np.int64)[words] if len(words) else words
+    text = np.repeat(np.arange(len(strings)), np.diff(bounds))
+    starts = np.ones(len(words), dtype=bool)
+    starts[1:] = (np.diff(labels) != 0) | (np.diff(text) != 0)
+    span, first = np.cumsum(starts) - 1, np.flatnonzero(starts)
+    k = len(model.languages)
+    total = np.stack([np.bincount(span, weights=scores[:, j], minlength=len(first)) for j in range(k)], axis=1)
+    ranked = np.sort(total, axis=1)
+    sure = np.ones(len(first)) if k == 1 else 1 / (1 + np.exp(-np.minimum(ranked[:, -1] - ranked[:, -2], 50.0)))
+    known = np.bincount(text, weights=letters * sure[span], minlength=len(strings))
+    return known / np.maximum(np.bincount(text, weights=letters, minlength=len(strings)), 1)
+
+
 def _label(model: Model, strings: pa.Array) -> list[tuple[str, float, list[dict]]]:
     """Language, score and spans of each text."""
     none = (UNKNOWN, 0.0, [])
@@ -276,13 +296,17 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, beyond: float = 0.5) -> DataFrame:
-    """Rows, with all their columns, whose language is found with a score above ``beyond``."""
+    """Rows, with all their columns, of whose letters a share above ``beyond`` is found in languages of the model.
+
+    Spans of all languages count together, each by how sure its language is; a span that says nothing, as
+    one in a script that no language uses, counts half. So texts in several languages are kept too.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield batch.filter(pa.array([f[1] > beyond for f in _label(shared.value, texts(batch))], pa.bool_()))
+            yield batch.filter(pa.array(_known(shared.value, texts(batch)) > beyond, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

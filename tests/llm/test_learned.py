@@ -36,6 +36,19 @@ def test_language_spans_and_edges(spark, docs):
     assert language.label(frame.limit(0), model).collect() == []
 
 
+def test_even_mixes_of_known_languages_are_kept(spark, docs):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.fit(rows)
+    sample = {r.lang: r.text[:400] for r in rows.filter("length(text) between 400 and 900").collect()}
+    some = sorted(sample)[:3]
+    assert len(some) == 3
+    mixes = [(1, "\n".join(sample[k] for k in some[:2])), (2, "\n".join(sample[k] for k in some)),
+             (3, sample[some[0]] + sample[some[0]][:130] + "\n" + sample[some[1]] + "\n" + sample[some[2]]), (4, "\u0531\u0532\u0533 \u0534\u0535")]
+    frame = docs(mixes)
+    assert all(r.score <= 0.55 for r in language.label(frame, model).collect())
+    assert sorted(r.doc_id for r in language.keep_known(frame, model).collect()) == [1, 2, 3]
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
     scores = -rng.random((12, 3)) * 20
