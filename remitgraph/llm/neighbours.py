@@ -194,44 +194,49 @@ def _routed(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
 
 
 def _meet(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query in one block."""
+    """The k nearest ids of each query in one block; an id counts by its nearest vector."""
     empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
                           "score": pd.Series(dtype="float64")})
     if rows.empty or asked.empty:
         return empty
-    rows = rows.sort_values("id", kind="stable")
-    ids, values = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
-    different, which = np.unique(values, axis=0, return_inverse=True)
-    # Of equal vectors only the first k + 1 ids can be among the nearest k others.
-    order = np.argsort(which, kind="stable")
-    place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
-    kept = order[place <= k]
+    different, which = np.unique(np.stack(rows["v"].to_numpy()), axis=0, return_inverse=True)
+    # Different ids of each vector. Of equal vectors only the first k + 1 ids can be among the nearest k others.
+    which, ids = np.unique(np.stack((which.reshape(-1), rows["id"].to_numpy())), axis=1)
+    kept = np.arange(len(which)) - np.searchsorted(which, which) <= k
+    which, ids = which[kept], ids[kept]
+    members = np.split(ids, np.searchsorted(which, np.arange(1, len(different))))
     asked_ids, queries = asked["id"].to_numpy(), np.stack(asked["v"].to_numpy())
     own, others = np.linalg.norm(queries, axis=1), np.linalg.norm(different, axis=1)
     near = (queries @ different.T) / (own[:, None] * others)
-    # The k + 1 best vectors hold the k best rows whatever the query's own row is; what is as near as
-    # rounding is looked at too.
-    most = min(k + 1, len(different))
-    limit = -np.partition(-near, most - 1, axis=1)[:, most - 1]
-    q, v = np.nonzero(near >= (limit - 1e-9)[:, None])
-    exact = np.concatenate([
-        (queries[q[i:i + 65536]] * different[v[i:i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536)])
-    exact = exact / (own[q] * others[v])
-    members = [ids[kept[a:b]] for a, b in zip(*(lambda w: (np.searchsorted(w, np.arange(len(different)), "left"),
-                                                           np.searchsorted(w, np.arange(len(different)), "right")))(which[kept]),
-                                              strict=True)]
-    size = np.array([len(members[i]) for i in v])
-    found = pd.DataFrame({"query_id": np.repeat(asked_ids[q], size), "vec_id": np.concatenate([members[i] for i in v]),
-                          "score": np.repeat(exact, size)})
-    found = found[found["query_id"] != found["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-    return found.groupby("query_id", sort=False).head(k)
+    # The k + 1 best vectors hold the k best ids whatever the query's own row is, unless an id has several of
+    # them: then more vectors are looked at, for the queries that need it. What is as near as rounding is looked at too.
+    open_, most, out = np.arange(len(asked_ids)), min(k + 1, len(different)), [empty]
+    while len(open_):
+        limit = -np.partition(-near[open_], most - 1, axis=1)[:, most - 1]
+        q, v = np.nonzero(near[open_] >= (limit - 1e-9)[:, None])
+        sure, q = near[open_[q], v] >= limit[q], open_[q]
+        exact = np.concatenate([
+            (queries[q[i:i + 65536]] * different[v[i:i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536)])
+        exact = exact / (own[q] * others[v])
+        size = np.array([len(members[i]) for i in v])
+        found = pd.DataFrame({"at": np.repeat(q, size), "query_id": np.repeat(asked_ids[q], size),
+                              "vec_id": np.concatenate([members[i] for i in v]),
+                              "score": np.repeat(exact, size), "sure": np.repeat(sure, size)})
+        found = found[found["query_id"] != found["vec_id"]].sort_values(["at", "score", "vec_id"], ascending=[True, False, True])
+        found = found.drop_duplicates(["at", "vec_id"])
+        enough = np.bincount(found["at"][found["sure"]], minlength=len(asked_ids)) >= k
+        done = open_ if most == len(different) else open_[enough[open_]]
+        out.append(found[found["at"].isin(done)].groupby("at", sort=False).head(k)[["query_id", "vec_id", "score"]])
+        open_, most = np.setdiff1d(open_, done), min(4 * most, len(different))
+    return pd.concat(out[1:])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, index: Index | None = None, **settings) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query among all other vectors.
 
     Both tables have vec_id and embedding. All candidates, if fewer; no rows for queries that take no
-    part, or without vectors. A row is not its own query's candidate; rows that repeat an id count once.
+    part, or without vectors. A row is not its own query's candidate; rows that repeat an id count once,
+    with the nearest vector if they differ.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -244,7 +249,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, index: Index | No
         return df.filter(usable(v, index.size) & F.col("vec_id").isNotNull()).select(
             F.col("vec_id").cast("long").alias("id"), v.cast("array<double>").alias("v"))
 
-    rows = stage(_routed(plain(vectors), index, 1).select("id", "v", F.col("parts")[0].alias("part")), "vectors")
+    rows = stage(_routed(plain(vectors).distinct(), index, 1).select("id", "v", F.col("parts")[0].alias("part")), "vectors")
     asked = stage(_routed(plain(queries).dropDuplicates(["id"]), index, index.probes).select("id", "v", F.explode("parts").alias("part")), "queries")
     # Blocks of a part: at most as many numbers as there are parts come to the driver.
     n_rows = {r["part"]: max(1, math.ceil(r["count"] / ROWS)) for r in rows.groupBy("part").count().collect()}
@@ -253,7 +258,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, index: Index | No
     plan = spark.createDataFrame([(p, n_rows.get(p, 1), n_asked.get(p, 1)) for p in parts], "part int, a int, b int")
 
     def blocks(df: DataFrame, mine: str, other: str) -> DataFrame:
-        at = F.pmod(F.xxhash64(F.lit(1), "id"), F.col(mine)).cast("int")
+        at = F.pmod(F.xxhash64(F.lit(1), "id", "v"), F.col(mine)).cast("int")
         return (df.join(F.broadcast(plan), "part")
                 .select("id", "v", "part", at.alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)))
 

@@ -107,6 +107,17 @@ def test_neighbours_recall(spark):
     assert (found.groupby("query_id")["rank"].max() == 5).all()
 
 
+def test_neighbours_of_repeated_ids(spark):
+    k = 5
+    rows = [(0, [1.0, 0.0])] + [(1, [2.0, 0.0])] * (k + 2) + [(i, [3.0, 0.0]) for i in range(2, 5)]
+    rows += [(9, [1.0, 0.01 * i]) for i in range(1, 3 * k)] + [(20 + i, [1.0, 1.0 + i]) for i in range(4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = sorted(tuple(r)[:3] for r in neighbours.search(table, table.filter("vec_id in (0, 1)"), k=k).collect())
+    assert found == [(0, i + 1, v) for i, v in enumerate([1, 2, 3, 4, 9])] + [(1, i + 1, v) for i, v in enumerate([0, 2, 3, 4, 9])]
+    deep = sorted(tuple(r)[:3] for r in neighbours.search(table, table.filter("vec_id = 0"), k=8).collect())
+    assert deep == [(0, i + 1, v) for i, v in enumerate([1, 2, 3, 4, 9, 20, 21, 22])]
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]),
             (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
