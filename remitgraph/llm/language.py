@@ -7,7 +7,7 @@ into spans. The language of the text is that of most of its letters.
 
 N-grams are counted in a fixed number of buckets, so the model's size does not depend on the corpus.
 It is fitted on a bounded sample: at most about ``SAMPLE`` texts of each language, chosen by a hash of
-the id. Everything else covers whole texts of all rows.
+id and text, copies once. Everything else covers whole texts of all rows.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(_SCRIPT_NAMES), 0), dtype=bool))
     scale = 1 << 30
     most = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, math.ceil(scale * min(1.0, sample / n)))])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < most[F.col("lang")])
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < most[F.col("lang")]).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}

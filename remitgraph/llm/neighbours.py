@@ -156,20 +156,20 @@ def usable(vector: Column, size: int | None = None) -> Column:
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, **settings) -> Index | None:
-    """The index from about ``sample`` usable vectors (vec_id, embedding), chosen by a hash of the id.
+    """The index from about ``sample`` usable vectors (vec_id, embedding), chosen by a hash of id and vector.
 
-    They come to the driver. None without any. If vectors differ in length, the commonest one (of equally
+    Rows without an id are left out, copies count once. They come to the driver. None without any. If vectors differ in length, the commonest one (of equally
     common ones the longest) counts.
     """
-    good = vectors.filter(usable(F.col("embedding")))
+    good = vectors.select("vec_id", "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     lengths = good.groupBy(F.size("embedding").alias("n")).count().collect()
     if not lengths:
         return None
     rows, size = max((r["count"], r["n"]) for r in lengths)
     scale = 1 << 30
     chosen = good.filter(F.size("embedding") == size).filter(
-        F.pmod(F.xxhash64("vec_id"), F.lit(scale)) < math.ceil(scale * min(1.0, sample / rows)))
-    table = chosen.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("vec_id").toArrow()
+        F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(scale)) < math.ceil(scale * min(1.0, sample / rows)))
+    table = chosen.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).distinct().orderBy("vec_id", "v").toArrow()
     values = np.array(table["v"].to_pylist(), dtype=np.float64).reshape(-1, size)
     return build(values, **settings) if len(values) else build(np.ones((1, size)), **settings)
 

@@ -66,14 +66,15 @@ def _with_base(docs: DataFrame, columns: list[Column]) -> DataFrame:
 
 
 def samples(docs: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """Labelled strings (value, random) from about ``bound`` documents, chosen by a hash of the id.
+    """Labelled strings (value, random) from about ``bound`` documents, chosen by a hash of id and text, copies once.
 
     Random are the values that the base patterns find, and digests of the ids written in hex, in
     base 64 and in capitals; ordinary are words, and neighbouring words joined as identifiers are.
     """
     rows = docs.agg(F.count(F.lit(1))).first()[0]
     scale = 1 << 30
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < math.ceil(scale * min(1.0, bound / max(rows, 1))))
+    chosen = docs.select("doc_id", "text").filter(
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < math.ceil(scale * min(1.0, bound / max(rows, 1)))).distinct()
     base = _with_base(chosen, [F.col("doc_id").cast("string").alias("_id")])
     digest = F.sha2(F.coalesce("_id", F.lit("")), 256)
     in_64 = F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9+/]", "")

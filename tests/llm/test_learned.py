@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from remitgraph.llm import language, neighbours, queries, toxicity
+from remitgraph.llm import language, neighbours, queries, secrets, toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -49,6 +49,26 @@ def test_even_mixes_of_known_languages_are_kept(spark, docs):
     assert sorted(r.doc_id for r in language.keep_known(frame, model).collect()) == [1, 2, 3]
 
 
+def test_samples_are_bounded_without_ids(spark, monkeypatch):
+    texts = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('some words ', id) as text", "'en' as lang")
+    copies = spark.range(4000).selectExpr("cast(5 as long) as doc_id", "'one text again' as text", "'en' as lang")
+    seen, real = [], secrets._with_base
+    monkeypatch.setattr(secrets, "_with_base", lambda chosen, columns: seen.append(chosen.count()) or real(chosen, columns))
+    secrets.samples(texts.union(copies), bound=100)
+    assert 0 < seen[0] < 200
+    kind = type(texts)
+    deal = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *to: seen.append(self.count()) or deal(self, *to))
+    language.fit(texts.union(copies), sample=100)
+    assert 0 < seen[1] < 200
+    vectors = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as vec_id", "array(1f, cast(id as float), 2f) as embedding")
+    vectors = vectors.union(spark.range(3000).selectExpr("cast(7 as long)", "array(1f, 2f, 3f)"))
+    sizes = []
+    monkeypatch.setattr(neighbours, "build", lambda values, **_: sizes.append(len(values)))
+    neighbours.fit(vectors, sample=100)
+    assert 0 < sizes[0] < 200
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
     scores = -rng.random((12, 3)) * 20
