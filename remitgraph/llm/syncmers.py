@@ -4,8 +4,9 @@ Of the k-mers of a text those are kept whose smallest s-mer, by hash, is the fir
 them. Whether a k-mer is kept depends on its own characters only, so an edit elsewhere neither adds
 nor removes anchors, and anchors keep their distances within a stretch that two texts share. A
 fingerprint holds the anchors with the smallest hashes, each with its place. Two fingerprints are
-alike as far as anchors match along one shift: of the smallest hashes of both, the share found in
-both at places that agree.
+alike as far as anchors match in the same order: of the smallest hashes of both, the share in the longest
+chain of those that both have and that follow each other in both. So what is put in or left out between
+costs its own anchors only.
 
 A text without a syncmer, as a short one, is an anchor as a whole; an empty or null text has an empty fingerprint.
 """
@@ -13,6 +14,7 @@ A text without a syncmer, as a short one, is an anchor as a whole; an empty or n
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,6 @@ S = 8  # characters of an inner substring
 WINDOW = 16  # inner substrings of a k-mer
 K = S + WINDOW - 1
 ANCHORS = 48  # anchors of a fingerprint
-SHIFT = 16  # places agree if they differ by the common shift, give or take so much
 
 # Multipliers for substrings of 1, 2, 4 ... characters.
 _POWERS = [np.uint64(pow(0x100000001B3, 1 << i, 1 << 64)) for i in range(S.bit_length() - 1)]
@@ -79,13 +80,11 @@ def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], most: int = ANC
         return float(a == b)
     left, right = dict(a), dict(b)
     union = sorted(left.keys() | right.keys())[:most]
-    shifts = sorted(right[h] - left[h] for h in union if h in left and h in right)
-    best = start = 0
-    for end, shift in enumerate(shifts):
-        while shift - shifts[start] > 2 * SHIFT:
-            start += 1
-        best = max(best, end - start + 1)
-    return best / len(union)
+    ends: list[int] = []  # the least place in b at which a chain of each length ends
+    for _, place in sorted((left[h], right[h]) for h in union if h in left and h in right):
+        at = bisect_left(ends, place)
+        ends[at:at + 1] = [place]
+    return len(ends) / len(union)
 
 
 def sketch(text: str) -> list[tuple[int, int]]:

@@ -53,6 +53,23 @@ def test_syncmers_by_definition():
     assert at.tolist() == expected
 
 
+def test_likeness_of_insertions_and_deletions():
+    rng = random.Random(4)
+
+    def some(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)) + ". "
+
+    parts = [some(12) for _ in range(60)]
+    whole, own = "".join(parts), syncmers.sketch("".join(parts))
+    added = "".join([*parts[:30], some(12), *parts[30:]])
+    less = "".join([*parts[:30], *parts[31:]])
+    drifting = "".join(p + ("and so on. " if i % 6 == 0 else "") for i, p in enumerate(parts))
+    for other in (added, less, drifting):
+        assert syncmers.likeness(own, syncmers.sketch(other)) >= 0.75
+    assert syncmers.likeness(own, syncmers.sketch("".join(parts[30:] + parts[:30]))) <= 0.7
+    assert syncmers.likeness(own, syncmers.sketch(some(700))) == 0 and syncmers.likeness(own, syncmers.sketch(whole)) == 1
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
