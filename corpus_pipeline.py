@@ -16,6 +16,7 @@ from remitgraph.llm import bpe, language, mixing, neardup, secrets
 from remitgraph.llm.queries import VOCABULARY
 from remitgraph.plans.staging import stage
 
+WORDS = 5  # words of a shingle of near duplicates
 BEYOND = 0.5  # share of a text found in known languages must exceed it
 
 
@@ -26,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates."""
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, words=WORDS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
