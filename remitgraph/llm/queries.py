@@ -1,4 +1,4 @@
-"""The ten operators with production parameters on whole tables, and SQL for those that it can express."""
+"""The thirteen operators with production parameters on whole tables, and SQL for those that it can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitgraph.llm import bpe, chat, language, mixing, neardup, neighbours, secrets, syncmers, toxicity, urls
+from remitgraph.llm import (
+    bpe, chat, language, mixing, neardup, neighbours, recipes, secrets, syncmers, toxicity, urls)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -81,9 +82,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_secrets, op4_bpe, op5_neighbours, op6_chat, op7_urls,
-                            op8_toxicity, op9_mixing, op10_near_duplicates)}
+                            op8_toxicity, op9_mixing, op10_near_duplicates, op13_exact_duplicates)}
 
 ORACLES = {
     "op6_chat": """
@@ -123,4 +128,14 @@ roots AS (SELECT a AS c, min(b) AS root FROM reached GROUP BY a)
 SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(roots.root, d.doc_id) AS component_id,
        d.doc_id = coalesce(roots.root, d.doc_id) AS kept
 FROM sets d LEFT JOIN classes ON list_sort(d.s) = classes.s LEFT JOIN roots ON roots.c = classes.c""",
+    "op13_exact_duplicates": """
+WITH plain AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', '', 'g') AS t
+  FROM documents),
+ranked AS (
+  SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY t ORDER BY n_chars DESC, doc_id NULLS LAST) AS keep_id,
+         row_number() OVER (PARTITION BY t ORDER BY n_chars DESC, doc_id NULLS LAST) = 1 AS kept
+  FROM plain)
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM ranked""",
 }
