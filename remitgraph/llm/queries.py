@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitgraph.llm import (
-    bpe, chat, language, mixing, neardup, neighbours, recipes, secrets, syncmers, toxicity, urls)
+    bpe, chat, language, mixing, neardup, neighbours, recipes, secrets, spelling, syncmers, toxicity,
+    urls)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -82,13 +83,25 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # A run that lacks a code point is no word of seven if it has fewer than seven itself.
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+                       F.explode(spelling.runs(F.col("text"), 7)).alias("run"))
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    without = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(h % 31 == 0, without).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(spelling.counted(words, least=7, often=2))
+
+
 def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_secrets, op4_bpe, op5_neighbours, op6_chat, op7_urls,
-                            op8_toxicity, op9_mixing, op10_near_duplicates, op13_exact_duplicates)}
+                            op8_toxicity, op9_mixing, op10_near_duplicates, op12_spelling, op13_exact_duplicates)}
 
 ORACLES = {
     "op6_chat": """
