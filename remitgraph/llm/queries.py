@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitgraph.llm import (
-    bpe, chat, language, mixing, neardup, neighbours, recipes, secrets, spelling, syncmers, toxicity,
+    balltree, bpe, chat, language, mixing, neardup, neighbours, recipes, secrets, spelling, syncmers, toxicity,
     urls)
 
 VOCABULARY = "word_bpe_49k.json"
@@ -83,6 +83,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # A run that lacks a code point is no word of seven if it has fewer than seven itself.
@@ -101,7 +105,8 @@ def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_secrets, op4_bpe, op5_neighbours, op6_chat, op7_urls,
-                            op8_toxicity, op9_mixing, op10_near_duplicates, op12_spelling, op13_exact_duplicates)}
+                            op8_toxicity, op9_mixing, op10_near_duplicates, op11_ranked_search,
+                            op12_spelling, op13_exact_duplicates)}
 
 ORACLES = {
     "op6_chat": """
@@ -151,4 +156,28 @@ ranked AS (
          row_number() OVER (PARTITION BY t ORDER BY n_chars DESC, doc_id NULLS LAST) = 1 AS kept
   FROM plain)
 SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM ranked""",
+    "op11_ranked_search": """
+WITH terms AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+sizes AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY r),
+total AS (SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+often AS (SELECT r, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(texts) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM often, total GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * texts) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN often USING (term) JOIN weights USING (term) JOIN sizes USING (r), total
+  GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10""",
 }
