@@ -50,8 +50,11 @@ _FIRST = np.array([a for a, _, _ in SCRIPTS], dtype=np.int64)
 _LAST = np.array([b for _, b, _ in SCRIPTS], dtype=np.int64)
 _NUMBER = np.array([_SCRIPT_NAMES.index(s) for _, _, s in SCRIPTS], dtype=np.int64)
 
+SLICE = 3 << 20  # bytes of text that are labelled at a time; a longer text stands alone
+
 _EDGE = " "  # before and after a word
-_BREAKS = r"[^\p{L}\p{M}]+"
+# A word begins with a letter: marks that follow no letter are part of what lies between words.
+_BREAKS = r"[^\p{L}\p{M}]+\p{M}*"
 
 
 @dataclass(frozen=True)
@@ -90,7 +93,7 @@ def _grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _words(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Where each text's words begin (one more than texts), the words as numbers, the different words."""
-    bounds, words = split(pc.utf8_lower(strings), _BREAKS)
+    bounds, words = split(pc.binary_join_element_wise(_EDGE, pc.utf8_lower(strings), ""), _BREAKS)
     coded = words.dictionary_encode()
     return bounds, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches, most=SLICE):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in set(langs):
                 _, words, different = _words(texts(batch).filter(pa.array(langs == lang)))
@@ -284,7 +287,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SLICE):
             found = _label(shared.value, texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()),
@@ -306,7 +309,7 @@ def keep_known(docs: DataFrame, model: Model, beyond: float = 0.5) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SLICE):
             yield batch.filter(pa.array(_known(shared.value, texts(batch)) > beyond, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,9 +1,12 @@
 """Language, toxicity, vectors: held-out accuracy and edge cases."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from remitgraph.llm import language, neighbours, queries, secrets, toxicity
+from remitgraph.llm.arrow import pieces
 
 DATA = "/root/testdata/sf0.01"
 
@@ -36,6 +39,40 @@ def test_language_spans_and_edges(spark, docs):
     assert language.label(frame.limit(0), model).collect() == []
 
 
+def test_marks_without_letters_and_rows_without_id(spark, docs):
+    model = language.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    frame = docs([(1, "\u0301\u0302"), (2, "123 \u0301."), (3, "\u0301house \u0302 the of and"), (None, "the house of the and")])
+    found = {r.doc_id: r for r in language.label(frame, model).collect()}
+    assert [found[i].lang_pred for i in (1, 2)] == ["und", "und"] and [found[i].score for i in (1, 2)] == [0.0, 0.0]
+    assert found[3].lang_pred == found[None].lang_pred == "en"
+    held = spark.createDataFrame([(None,), (7,)], "doc_id long").select(F.coalesce(queries._fold(4) == 2, F.lit(False)).alias("h"))
+    assert all(r.h is not None for r in held.collect())
+
+
+def test_slices_do_not_change_what_is_kept(spark, docs, monkeypatch):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.fit(rows)
+    strings = pa.array([r.text for r in rows.limit(300).collect()] + ["", None, "\u0531\u0532 \u0533"])
+    batch = pa.RecordBatch.from_arrays([strings], ["text"])
+    whole = language._known(model, pc.fill_null(strings, ""))
+    for most in (1, 5_000, 200_000):
+        parts = [language._known(model, pc.fill_null(b.column("text"), "")) for b in pieces([batch], most=most)]
+        assert np.array_equal(np.concatenate(parts), whole)
+
+
+def test_rows_of_a_labelled_id_are_bounded(spark, docs, monkeypatch):
+    """A chosen id that many rows bear does not bring them all to the driver."""
+    frame = docs([(1, f"text number {i} of one id") for i in range(3_000)] + [(2, "fine words"), (3, "other fine words")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    sizes = []
+    real = toxicity._descend
+    monkeypatch.setattr(toxicity, "_descend", lambda sentences, words, buckets, toxic: sizes.append(len(toxic)) or real(
+        sentences, words, buckets, toxic))
+    model = toxicity.fit(frame, labels, sample=100)
+    assert 0 < sizes[0] < 200
+    assert toxicity.score(frame, model).count() == 3_002
+
+
 def test_even_mixes_of_known_languages_are_kept(spark, docs):
     rows = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language.fit(rows)
