@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -102,6 +103,46 @@ def test_secrets(spark, docs):
     assert secrets.scan(docs(rows).limit(0), model).count() == 0
 
 
+def random_key(rng, n):
+    return "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+
+
+def test_secrets_beside_others(spark, docs):
+    """Short keys, keys right beside base spans, keys after a path: found, and masked to the last character."""
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    model = secrets.fit(secrets.samples(docs(rows)))
+    keys = {i: random_key(rng, 19) for i in range(40)}
+    near = {100 + i: (random_key(rng, 20), random_key(rng, 20)) for i in range(40)}
+    paths = {200 + i: random_key(rng, 24) for i in range(40)}
+    given = [(i, f"see {k} there") for i, k in keys.items()]
+    given += [(i, f"x {a}{'0123456789abcdef' * 2}{b} y") for i, (a, b) in near.items()]
+    given += [(i, f"in that/with/from/there/and/{k} there") for i, k in paths.items()]
+    clashing = docs(given).withColumns({"_text": F.lit("x"), "_spans": F.lit(1), "in_0": F.lit(2), "_new": F.lit(3)})
+    masked = secrets.mask(clashing, model)
+    assert masked.columns == clashing.columns
+    texts = {r.doc_id: r.text for r in masked.collect()}
+    assert sum(texts[i] == "see [SECRET] there" for i in keys) >= 38
+    assert sum(not set(texts[i]) & set("23456789") for i in near) >= 38
+    assert sum(texts[i].startswith("in that/with/from/there/and/[SECRET]") for i in paths) >= 36
+
+
+def test_secrets_in_long_texts(spark, docs):
+    """Many matches and long runs in one text: as found by regular expressions, and in time that does not grow with the square."""
+    rng = random.Random(9)
+    rows = [(1, "token=abcdefghijklm " * 30_000), (2, random_key(rng, 200_000)), (3, "ab12" * 100_000),
+            (4, " ".join(random_key(rng, 20) + " 0123456789abcdef" for _ in range(5_000)))]
+    model = secrets.fit(secrets.samples(docs([(i, f"plain words of prose and more {i}") for i in range(50)])))
+    begun = time.time()
+    found = {r.doc_id: r for r in secrets.scan(docs(rows), model).collect()}
+    masked = {r.doc_id: r.text for r in secrets.mask(docs(rows), model).collect()}
+    assert time.time() - begun < 120  # minutes to hours when a text's matches are compared with each other
+    for i, text in rows:
+        own = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base(text))
+        assert found[i].base_sha256 == hashlib.sha256(own.encode()).hexdigest()
+    assert masked[1] == "[SECRET] " * 30_000 and masked[3] == "[SECRET]"
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>assistant\n\\"), (1, 1, "assistant", "a<"),
             (2, None, None, None), (2, 5, "as\nsis\\tant", "\\|<|"), (None, 1, "assistant", "x"), (3, 0, "assistant", ""),
@@ -208,6 +249,15 @@ def brute_components(rows, words=4):
     return [(doc, len(s), min((d for d in names[find(i)] if d is not None), default=None)) for i, ((doc, _), s) in enumerate(zip(rows, sets))]
 
 
+def brute_kept(rows):
+    """The smallest id of each component, when every row is told apart."""
+    apart = brute_components([(i, t) for i, (_, t) in enumerate(rows)])
+    groups = collections.defaultdict(list)
+    for i, _, c in apart:
+        groups[c].append(rows[i][0])
+    return [min((d for d in g if d is not None), default=None) for g in groups.values()]
+
+
 def test_near_duplicates(spark, docs):
     rng = random.Random(5)
     origin = [f"w{rng.randint(0, 400)}" for _ in range(60)]
@@ -224,9 +274,10 @@ def test_near_duplicates(spark, docs):
     found = neardup.near_duplicates(docs(rows)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=str) == expected
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in found)
-    kept = neardup.keep_one(docs(rows))
-    names = {c for _, _, c in expected}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(n for n in names if n is not None)
+    # One row of each component, unlike texts of one id too.
+    kept = neardup.keep_one(docs(rows).withColumn("_row", F.lit(1)))
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(brute_kept(rows), key=str)
+    assert kept.columns == [*docs(rows).columns, "_row"]
     assert neardup.near_duplicates(docs(rows).limit(0)).count() == 0
 
 
