@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _fold(folds: int) -> F.Column:
-    """The remainder that decides which rows are held out."""
+    """The remainder that decides which rows are held out; null without an id, such a row is not held out nor learned from."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
 
 
@@ -28,7 +28,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(_fold(4) != 2))
     found = language.label(docs, model)
-    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score",
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score",
                         F.size("spans").cast("long").alias("n_spans"),
                         F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"])))
                         .alias("spans"))
@@ -69,7 +69,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     kept = _fold(3) != 1
     found = toxicity.score(docs, toxicity.fit(docs.filter(kept), labels.filter(kept)))
-    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "score",
+    return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score",
                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
                         F.concat_ws(",", F.transform("sentences", lambda s: F.concat_ws(":", s["start"], s["end"])))
                         .alias("offending"))
