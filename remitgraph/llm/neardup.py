@@ -299,17 +299,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, alike: int = ALIKE) ->
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, alike: int = ALIKE) -> DataFrame:
-    """The rows, with all their columns, that name their component; of rows with the same id one.
+    """One row, with all its columns, of each component: that of the smallest id, null last.
 
-    Rows without an id and without any row that could stand for them are kept.
+    Rows are told apart by a number of their own, so unlike texts that share an id, or have none, all stay;
+    of rows that agree in id and text one does. Texts without words are linked with nothing and stay.
     """
-    found = stage(near_duplicates(docs, words, alike), "near")
-    kept = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    once = kept.filter("n = 1").select(F.col("doc_id").alias("_kept"))
-    more = kept.filter("n > 1").select(F.col("doc_id").alias("_kept"))
-    single = docs.join(once, F.col("doc_id") == F.col("_kept"), "left_semi")
-    repeated = docs.join(more, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null")
-    if found.filter("doc_id is null and component_id is null").isEmpty():
-        return single.unionByName(repeated)
-    return single.unionByName(repeated).unionByName(nameless.dropDuplicates(["text"]))
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), words, alike)
+    ids = numbered.select("_row", F.col("doc_id").alias("_id"))
+    named = found.join(ids, F.col("doc_id") == F.col("_row"))
+    kept = named.groupBy("component_id").agg(F.coalesce(F.min_by("_row", "_id"), F.min("_row")).alias("_row"))
+    return numbered.join(kept.select("_row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
