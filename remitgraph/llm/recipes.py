@@ -95,5 +95,6 @@ def exact_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     groups = as_long.groupBy(*key).agg(
         F.max_by("keep_id", "n_chars").alias("keep_id"), F.max_by("keep_row", "n_chars").alias("keep_row"),
         F.sum("n").alias("group_size"))
-    return rows.join(groups, key).select(
+    # Staged, so that both sides of the join are plain exchanges, and a recipe that many rows share can be split.
+    return rows.join(stage(groups, "groups"), key).select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
