@@ -14,8 +14,18 @@ from pyspark.sql import SparkSession
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNSET = "67108864b"  # Spark's own default
+_SMALLER = "8m"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed but lies at the same path."""
+    """Let Python workers import this package where it is not installed but lies at the same path.
+
+    Rows come to them in batches of some megabytes, unless the session says otherwise: texts may be long.
+    """
+    if spark.conf.get(_BATCH, _UNSET) == _UNSET:
+        spark.conf.set(_BATCH, _SMALLER)
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in known:
@@ -33,6 +43,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
             stop = max(int(np.searchsorted(ends, done + most, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -71,7 +71,7 @@ def _before(size: np.ndarray) -> np.ndarray:
 class Encoder:
     """A vocabulary with its tables, and up to ``cached`` words that were encoded lately."""
 
-    def __init__(self, path: str, cached: int = 400_000) -> None:
+    def __init__(self, path: str, cached: int = 150_000) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
