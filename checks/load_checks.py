@@ -13,7 +13,7 @@ from checks.sql import ACC, DIRTY, GRAPH, RAW, with_
 from remitgraph.operators import export, load
 from remitgraph.plans.staging import shared_folder
 from remitgraph.plans.tables import EDGE_ENDS, NODE_KEYS, RAW_TRANSACTION_HEADINGS
-from remitgraph.sources import files, sampling, store
+from remitgraph.sources import files, keyed, sampling, store
 
 
 def fresh_folder(spark) -> str:
@@ -23,23 +23,46 @@ def fresh_folder(spark) -> str:
 # --- upsert ---------------------------------------------------------------------------------
 
 
-@check("l1_upsert_accounts", """
+L1 = """
 WITH i AS (SELECT s_nationkey || '|' || s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS v
            FROM supplier WHERE s_suppkey % 10 <> 0),
      e AS (SELECT c_nationkey || '|' || c_custkey AS k, c_name AS v FROM customer)
 SELECT coalesce(i.k, e.k) AS account_key, CASE WHEN i.k IS NOT NULL THEN i.v ELSE e.v END AS account_number
-FROM e FULL JOIN i ON e.k = i.k""")
-def l1(spark, d):
+FROM e FULL JOIN i ON e.k = i.k"""
+
+
+def supplier_accounts(spark, d):
     key = F.col("s_suppkey")
-    incoming = m.table(spark, d, "supplier").select(
+    return m.table(spark, d, "supplier").select(
         F.when(key % 10 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_nationkey", F.lit("|"), key))
         .alias("account_key"),
         F.when(key % 7 != 0, F.concat("s_name", F.lit(" "))).alias("account_number"),
         key.alias(load.SEQ))
-    existing = m.table(spark, d, "customer").select(
+
+
+def customer_accounts(spark, d):
+    return m.table(spark, d, "customer").select(
         F.concat_ws("|", "c_nationkey", "c_custkey").alias("account_key"),
         F.col("c_name").alias("account_number"))
-    return load.upsert_nodes(existing, load.typed_nodes("accounts", incoming), "account_key")
+
+
+@check("l1_upsert_accounts", L1)
+def l1(spark, d):
+    return load.upsert_nodes(
+        customer_accounts(spark, d), load.typed_nodes("accounts", supplier_accounts(spark, d)), "account_key")
+
+
+def fresh_store(spark):
+    return keyed.open_store(spark, fresh_folder(spark), parts=8, buckets=4)
+
+
+@check("l1_incremental_accounts", L1)
+def l1_incremental(spark, d):
+    """Customers first, then suppliers as a batch that overwrites some of them."""
+    into = fresh_store(spark)
+    keyed.load_batch(into, {"accounts": customer_accounts(spark, d).withColumn(load.SEQ, F.lit(1))})
+    keyed.load_batch(into, {"accounts": supplier_accounts(spark, d)})
+    return into.read("accounts")
 
 
 def bank_rows(spark, d):
@@ -90,7 +113,7 @@ def l3(spark, d):
     return load.upsert_nodes(None, load.typed_nodes("entities", rows), "id")
 
 
-@check("l4_upsert_transactions", """
+L4 = """
 SELECT l_orderkey || '/' || l_linenumber AS transaction_id,
        CASE WHEN l_tax > 0 THEN l_shipdate END AS "timestamp", l_quantity AS amount_received,
        l_linestatus AS receiving_currency, l_extendedprice AS amount_paid,
@@ -98,10 +121,12 @@ SELECT l_orderkey || '/' || l_linenumber AS transaction_id,
        l_returnflag IN ('R', 'A') AS is_laundering
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC,
         l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC, l_returnflag DESC,
-        l_linestatus DESC, l_tax DESC) AS rn FROM lineitem) WHERE rn = 1""")
-def l4(spark, d):
+        l_linestatus DESC, l_tax DESC) AS rn FROM lineitem) WHERE rn = 1"""
+
+
+def line_transactions(spark, d):
     flag = F.when(F.col("l_returnflag") == "R", " TRUE ").when(F.col("l_returnflag") == "A", "1").otherwise("no")
-    rows = m.table(spark, d, "lineitem").select(
+    return m.table(spark, d, "lineitem").select(
         F.concat_ws("/", "l_orderkey", "l_linenumber").alias("transaction_id"),
         F.when(F.col("l_tax") > 0, F.substring(F.col("l_shipdate").cast("string"), 1, 19)).otherwise(" ")
         .alias("timestamp"),
@@ -112,7 +137,21 @@ def l4(spark, d):
         flag.alias("is_laundering"),
         F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
                  "l_returnflag", "l_linestatus", "l_tax").alias(load.SEQ))
-    return load.upsert_nodes(None, load.typed_nodes("transactions", rows), "transaction_id")
+
+
+@check("l4_upsert_transactions", L4)
+def l4(spark, d):
+    return load.upsert_nodes(None, load.typed_nodes("transactions", line_transactions(spark, d)), "transaction_id")
+
+
+@check("l4_incremental_transactions", L4)
+def l4_incremental(spark, d):
+    """The same rows as two batches, the later ones second."""
+    rows, into = line_transactions(spark, d), fresh_store(spark)
+    later = F.col(load.SEQ)["l_shipdate"] >= "1995-06-17"
+    for part in (~later, later):
+        keyed.load_batch(into, {"transactions": rows.filter(part)})
+    return into.read("transactions")
 
 
 def loaded(spark, d):
@@ -144,6 +183,21 @@ def merged(spark, d, table):
 for _i, (_table, _sql) in enumerate(LOADED.items()):
     check(f"l{_i + 5}_merge_{_table}", DIRTY + _sql)(lambda s, d, t=_table: merged(s, d, t))
 
+def loaded_in_batches(spark, d, table):
+    """Nodes, then the edges in two batches that overlap."""
+    frames = export.export_frames(m.dirty_graph(spark, d, m.FOR_WRITING), order=None)
+    into = fresh_store(spark)
+    nodes = {end_table for _, end_table in EDGE_ENDS[table][1]}
+    keyed.load_batch(into, {t: frames[t].withColumn(load.SEQ, F.lit(1)) for t in nodes})
+    some = F.pmod(F.xxhash64(*frames[table].columns), F.lit(3))
+    for part in (some < 2, some > 0):
+        keyed.load_batch(into, {table: frames[table].filter(part)})
+    return into.read(table)
+
+
+for _i, (_table, _sql) in enumerate(LOADED.items()):
+    check(f"l{_i + 5}_incremental_{_table}", DIRTY + _sql)(lambda s, d, t=_table: loaded_in_batches(s, d, t))
+
 check("l9_graph_counts", DIRTY + " UNION ALL ".join([
     "SELECT 'node' AS kind, 'Account' AS name, count(DISTINCT account_key) AS rows FROM node",
     # The null entity of accounts without metadata is dropped by the load.
