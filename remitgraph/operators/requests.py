@@ -72,7 +72,8 @@ def _valid(requests: DataFrame, intent: str, *names: str) -> DataFrame:
 
 def _accounts_of(graph: GraphTables, names: DataFrame) -> DataFrame:
     """Evaluated accounts of the entities with one of the names (a distinct ``entity_name`` frame)."""
-    return stage(r.owners(graph).join(names, "entity_name", "left_semi"), "asked-accounts")
+    # An account has a key; saying so is the filter that lets joins with stored transfers prune buckets.
+    return stage(r.owners(graph).join(names, "entity_name", "left_semi"), "asked-accounts").filter(F.col("account_key") > "")
 
 
 def relationship_evidence(
@@ -88,7 +89,7 @@ def relationship_evidence(
         F.struct(F.col("target_entity_name").alias("from_name"), F.col("source_entity_name").alias("to_name")),
     ))).distinct(), "asked-pairs")
     ends = _accounts_of(graph, pairs.select(F.col("from_name").alias("entity_name")).distinct())
-    hits = r._with_ends(r.transfers_sent_by(graph, ends), ends, ends).filter(r.distinct_ends())
+    hits = r.between(graph, ends).filter(r.distinct_ends())
     hits = hits.join(pairs, [
         hits.sender_entity_name == pairs.from_name, hits.receiver_entity_name == pairs.to_name])
     order = r.time_order("sender_entity_id", "receiver_entity_id")

@@ -70,13 +70,13 @@ def time_order(*ties: str) -> list[Column]:
     return [F.col("timestamp").asc_nulls_last(), F.col("transaction_id"), *[F.col(t) for t in ties]]
 
 
-def transfers(graph: GraphTables, where: Column | None = None) -> DataFrame:
+def transfers(graph: GraphTables, where: Column | None = None, *more: Column) -> DataFrame:
     """The columns of the transactions that questions are answered from."""
     rows = graph.transactions if where is None else graph.transactions.filter(where)
     return rows.select(
         "transaction_id", "timestamp", "from_account_key", "to_account_key",
         F.col("amount_paid").alias("amount"), F.col("payment_currency").alias("currency"),
-        "payment_format", "is_laundering",
+        "payment_format", "is_laundering", *more,
     )
 
 
@@ -97,43 +97,44 @@ def account_banks(graph: GraphTables) -> DataFrame:
 
 
 def named_accounts(graph: GraphTables, names: list[str], any_case: bool = False) -> DataFrame:
-    """Accounts of all entities that bear one of the names, evaluated once."""
+    """Accounts of all entities that bear one of the names, evaluated once.
+
+    The condition is stated again on what was evaluated: a filter on this side is what lets a join with
+    stored transfers prune their buckets at run time.
+    """
     if any_case:
         wanted = F.lower("entity_name").isin([n.lower() for n in names])
     else:
         wanted = F.col("entity_name").isin(names)
-    return stage(owners(graph).filter(wanted), "named-accounts")
+    return stage(owners(graph).filter(wanted), "named-accounts").filter(wanted)
 
 
-def sender_bucket(account_key: Column | str, buckets: int) -> Column:
-    """The bucket a stored transaction is in, by its sending account."""
+def account_bucket(account_key: Column | str, buckets: int) -> Column:
+    """The bucket of a stored transaction, by one of its accounts."""
     return F.pmod(F.xxhash64(account_key), F.lit(buckets)).cast("int")
 
 
-# Up to this many keys a Parquet scan checks each of them against the statistics of a row group.
-KEYS_IN_FILTER = 10
+def bucketed_transfers(graph: GraphTables, side: str = "sender", where: Column | None = None) -> DataFrame:
+    """Transfers with their ``bucket``, the folder they are stored in by that account; null if not stored so.
+
+    ``receiver`` are the labelled transfers only, in a copy laid out by the receiving account.
+    """
+    if graph.sender_buckets is None:
+        return transfers(graph, where).withColumn("bucket", F.lit(None).cast("int"))
+    rows = graph.transactions if side == "sender" else graph.labelled_received
+    return transfers(graph.with_(transactions=rows), where, F.col(f"{side}_bucket").alias("bucket"))
 
 
-def transfers_sent_by(graph: GraphTables, accounts: DataFrame) -> DataFrame:
-    """Transfers that may have been sent by one of the (evaluated) accounts.
+def _at(graph: GraphTables, end: str, account: str) -> Column:
+    """Whether an end of a transfer is an account; of a stored graph only that account's bucket is looked into.
 
-    Of a stored graph only the buckets of those accounts are read; there are never more buckets
-    than the graph was stored with, so their numbers can be listed in the filter. Buckets are
-    sorted by sender: for a handful of accounts the keys are listed too, and most row groups of
-    a bucket are skipped.
+    Where the accounts are few enough to be broadcast, Spark reads no other buckets (dynamic partition
+    pruning); no key and no bucket comes to the driver.
     """
+    same = F.col(end) == F.col(account)
     if graph.sender_buckets is None:
-        return transfers(graph)
-    keyed = accounts.select("account_key", sender_bucket("account_key", graph.sender_buckets).alias("b"))
-    few = keyed.distinct().limit(KEYS_IN_FILTER + 1).collect()
-    if not few:
-        return transfers(graph, F.lit(False))
-    if len(few) <= KEYS_IN_FILTER:
-        keys = sorted(r.account_key for r in few)
-        where = F.col("sender_bucket").isin(sorted({r.b for r in few})) & F.col("from_account_key").isin(keys)
-    else:
-        where = F.col("sender_bucket").isin(sorted(r.b for r in keyed.select("b").distinct().collect()))
-    return transfers(graph, where)
+        return same
+    return same & (F.col("bucket") == account_bucket(F.col(account), graph.sender_buckets))
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -148,6 +149,13 @@ def _with_ends(rows: DataFrame, senders: DataFrame, receivers: DataFrame) -> Dat
     )
 
 
+def between(graph: GraphTables, ends: DataFrame) -> DataFrame:
+    """Transfers whose sender and receiver both are among the evaluated accounts."""
+    s, r = prefixed(ends, "sender"), prefixed(ends, "receiver")
+    sent = bucketed_transfers(graph).join(s, _at(graph, "from_account_key", "sender_account_key"))
+    return sent.drop("bucket").join(r, F.col("to_account_key") == F.col("receiver_account_key"))
+
+
 def distinct_ends() -> Column:
     """False for a self-transfer whose two ends are the same owner."""
     return ~(
@@ -209,7 +217,7 @@ def entity_relationship(
         F.when(F.col("entity_name") == source, "source"),
         F.when(F.col("entity_name") == target, "target"),
     ))))
-    hits = _with_ends(transfers_sent_by(graph, found), ends, ends).filter(
+    hits = between(graph, ends).filter(
         (F.col("sender_role") != F.col("receiver_role")) & distinct_ends()
     )
     rows = hits.select(*relationship_rows(F.col("sender_role") == "source"))
@@ -235,12 +243,22 @@ def subject_sides(rows: DataFrame) -> DataFrame:
 def laundering_paths(graph: GraphTables, subjects: DataFrame, where: Column | None = None) -> DataFrame:
     """Labelled transfers of the subjects, one row per direction, before banks and counterparty.
 
+    Of a stored graph each direction is read from the copy that is laid out by the subject's side, so both
+    read only the subjects' buckets; other tables are scanned once for both directions.
     ``subjects`` holds ``account_key, entity_id, entity_name``; ``where`` is a further condition.
     """
     chosen = F.col("is_laundering") if where is None else F.col("is_laundering") & where
-    sides = subject_sides(transfers(graph, chosen))
     s = prefixed(subjects, "subject")
-    return sides.join(s, F.col("subject_account") == F.col("subject_account_key"))
+    if graph.sender_buckets is None:
+        sides = subject_sides(transfers(graph, chosen))
+        return sides.join(s, F.col("subject_account") == F.col("subject_account_key"))
+    found = []
+    for side, direction, own, other in (("sender", OUTGOING, "from_account_key", "to_account_key"),
+                                        ("receiver", INCOMING, "to_account_key", "from_account_key")):
+        rows = bucketed_transfers(graph, side, chosen).join(s, _at(graph, own, "subject_account_key"))
+        found.append(rows.drop("bucket").withColumns({
+            "direction": F.lit(direction), "subject_account": F.col(own), "other_account": F.col(other)}))
+    return found[0].unionByName(found[1])
 
 
 def attach_parties(graph: GraphTables, paths: DataFrame, few: bool = False) -> DataFrame:
@@ -405,7 +423,7 @@ def pair_rows(graph: GraphTables, a: str, b: str) -> DataFrame:
         F.when(c.same_name("entity_name", F.lit(b)), "target"),
     ))))
     forward = F.col("sender_role") == "source"
-    hits = _with_ends(transfers_sent_by(graph, found), ends, ends).filter(
+    hits = between(graph, ends).filter(
         (F.col("sender_role") != F.col("receiver_role"))
         & (forward | (F.col("from_account_key") != F.col("to_account_key")))
     )

@@ -63,8 +63,8 @@ class GraphTables:
     """Eight lazy DataFrames that together form one graph.
 
     A stored graph also has the two lookups that paths are completed with, written once, flags on
-    its transactions that say which of them have both ends, and the number of buckets of the sending
-    account that they are divided into.
+    its transactions that say which of them have both ends, the number of buckets of the sending account
+    that they are divided into, and a copy of the labelled ones in as many buckets of the receiving account.
     """
 
     accounts: DataFrame
@@ -77,6 +77,7 @@ class GraphTables:
     received_by: DataFrame
     account_owners: DataFrame | None = None
     account_banks: DataFrame | None = None
+    labelled_received: DataFrame | None = None
     sender_buckets: int | None = None
 
     def items(self) -> Iterator[tuple[str, DataFrame]]:

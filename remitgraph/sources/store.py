@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from remitgraph.operators import build
-from remitgraph.operators.retrieve import account_banks, known_ends, owners, sender_bucket
+from remitgraph.operators.retrieve import account_banks, account_bucket, known_ends, owners
 from remitgraph.plans.tables import TABLES, GraphTables
 
 OF_ACCOUNTS = ("accounts", "banks", "entities", "owns", "held_at")
@@ -24,7 +24,8 @@ def write_graph(
 
     Transactions are partitioned by label (the labelled ones are few and are all that most
     questions read) and by a hash of the sending account, so a question about named senders
-    reads only their buckets. Each bucket is written by several tasks if one account fills it.
+    reads only their buckets. Each bucket is written by several tasks if one account fills it. The labelled
+    ones are stored once more by a hash of the receiving account, for questions that start there.
     Owner and bank of every account are stored as lookups, sorted by name and by account, so
     that Parquet statistics skip most of a file.
 
@@ -49,13 +50,17 @@ def write_graph(
         account_owners=keep("account_owners", owners(graph).orderBy("entity_name", "account_key")),
         account_banks=keep("account_banks", account_banks(graph).orderBy("account_key")))
 
-    laid_out = known_ends(graph).withColumn("sender_bucket", sender_bucket("from_account_key", buckets))
+    laid_out = known_ends(graph).withColumn("sender_bucket", account_bucket("from_account_key", buckets))
     # rebalance: AQE cuts a partition that one hot account fills, and joins small ones.
     laid_out = laid_out.hint("rebalance", *[F.col(p) for p in PARTITIONS]).sortWithinPartitions(
         *PARTITIONS, "from_account_key")
     laid_out.write.partitionBy(*PARTITIONS).parquet(f"{path}/transactions")
+    written = _transactions(spark, path)
+    received = written.filter("is_laundering").drop("sender_bucket").withColumn(
+        "receiver_bucket", account_bucket("to_account_key", buckets))
+    received = received.hint("rebalance", F.col("receiver_bucket")).sortWithinPartitions("receiver_bucket", "to_account_key")
+    received.write.partitionBy("receiver_bucket").parquet(f"{path}/labelled_received")
     if derive_edges:
-        written = _transactions(spark, path)
         graph = graph.with_(sent=build.sent(written), received_by=build.received_by(written))
     for name in ("sent", "received_by"):
         keep(name, getattr(graph, name))
@@ -72,6 +77,11 @@ def _transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(stated).parquet(f"{path}/transactions")
 
 
+def received_schema(transactions: DataFrame) -> StructType:
+    """That of the copy by receiver; stated, since there may be no labelled transfer at all."""
+    return StructType([f for f in transactions.schema if f.name != "sender_bucket"]).add("receiver_bucket", IntegerType())
+
+
 def bucket_count(graph: GraphTables, buckets: int) -> DataFrame:
     return graph.accounts.sparkSession.range(1).select(F.lit(buckets).alias("sender_buckets"))
 
@@ -80,5 +90,6 @@ def read_graph(spark: SparkSession, path: str) -> GraphTables:
     tables = {n: spark.read.parquet(f"{path}/{n}") for n in TABLES if n != "transactions"}
     tables["transactions"] = _transactions(spark, path)
     tables |= {name: spark.read.parquet(f"{path}/{name}") for name in LOOKUPS}
+    tables["labelled_received"] = spark.read.schema(received_schema(tables["transactions"])).parquet(f"{path}/labelled_received")
     buckets = spark.read.parquet(f"{path}/layout").first().sender_buckets
     return GraphTables(**tables, sender_buckets=buckets)

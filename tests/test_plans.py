@@ -1,7 +1,7 @@
 """Properties of plans that decide whether a query holds at scale."""
 
 import pytest
-from graph_fixture import P, hand_made
+from graph_fixture import C, P, hand_made
 from pyspark.sql import functions as F
 
 from checks import mapping as m
@@ -72,13 +72,36 @@ def test_stored_questions_cut_paths_before_any_join(spark, tmp_path, monkeypatch
 
     monkeypatch.setattr(retrieve, "stage", look)
     retrieve.entity_laundering(stored, P)
-    assert staged["paths"].count("FileScan") == 2 and "WindowGroupLimit" in staged["paths"]  # transfers, named accounts
+    assert "WindowGroupLimit" in staged["paths"]
+    assert "account_owners" not in staged["paths"] and "account_banks" not in staged["paths"]
     retrieve.subject_transactions(stored, P)
     assert "TakeOrderedAndProject" in staged["paths"] and "account_banks" not in staged["paths"]
     retrieve.transaction_paths(stored)
     assert "Join" not in staged["transfers"] and "TakeOrderedAndProject" in staged["transfers"]
 
 
+def scans(df, column):
+    return [line for line in plan(df).splitlines() if "FileScan" in line and column in line]
+
+
+def test_buckets_are_pruned_from_either_end(spark, tmp_path, monkeypatch):
+    """Without a collect: the accounts asked about prune the stored folders at run time, senders and receivers."""
+    stored = store.write_graph(hand_made(spark), str(tmp_path / "g"), buckets=4)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    monkeypatch.setattr(type(stored.accounts), "collect", lambda self: pytest.fail("rows came to the driver"))
+    paths = []
+    monkeypatch.setattr(retrieve, "stage", lambda df, name: (name == "paths" and paths.append(df)) or stage(df, name))
+    retrieve.entity_laundering(stored, P)
+    asked = {"sender_bucket": retrieve.entity_relationship(stored, P, C), "receiver_bucket": paths[0]}
+    for bucket, df in [*asked.items(), ("sender_bucket", paths[0])]:
+        found = scans(df, bucket)
+        assert found and all(f"dynamicpruningexpression({bucket}" in s for s in found), bucket
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    monkeypatch.undo()
+    read = retrieve.bucketed_transfers(stored, "receiver").count()
+    assert read == stored.transactions.filter("is_laundering").count()
+
+
 def test_groups_are_cut_before_the_shuffle(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     text = plan(top_per_group(df, ["g"], [F.col("id")], 5))
