@@ -70,49 +70,54 @@ def _valid(requests: DataFrame, intent: str, *names: str) -> DataFrame:
     return chosen
 
 
-def _accounts_of(graph: GraphTables, names: DataFrame) -> DataFrame:
-    """Evaluated accounts of the entities with one of the names (a distinct ``entity_name`` frame)."""
+def _pair_uses(requests: DataFrame) -> DataFrame:
+    """Two rows per relationship request: the evidence of its pair forwards, of the swapped pair backwards."""
+    def use(sender: str, receiver: str, forward: bool) -> Column:
+        return F.struct(F.col(sender).alias("from_name"), F.col(receiver).alias("to_name"), F.lit(forward).alias("forward"))
+
+    source, target = "source_entity_name", "target_entity_name"
+    return _valid(requests, RELATIONSHIP, source, target).select(
+        "request_id", F.inline(F.array(use(source, target, True), use(target, source, False))))
+
+
+def _searched(requests: DataFrame) -> DataFrame:
+    return _valid(requests, LAUNDERING, "entity_name").select("request_id", F.col("entity_name").alias("searched_entity"))
+
+
+def asked_accounts(graph: GraphTables, requests: DataFrame) -> DataFrame:
+    """The accounts of all entities that any request names, evaluated once for all intents."""
+    names = _pair_uses(requests).select(F.col("from_name").alias("entity_name")).unionByName(
+        _searched(requests).select(F.col("searched_entity").alias("entity_name"))).distinct()
     # An account has a key; saying so is the filter that lets joins with stored transfers prune buckets.
     return stage(r.owners(graph).join(names, "entity_name", "left_semi"), "asked-accounts").filter(F.col("account_key") > "")
 
 
 def relationship_evidence(
-    graph: GraphTables, requests: DataFrame, limit: int = r.MAX_ROWS
+    graph: GraphTables, requests: DataFrame, limit: int = r.MAX_ROWS, accounts: DataFrame | None = None
 ) -> DataFrame:
-    """Both directions of every relationship request, each capped like a single question."""
-    asked = _valid(requests, RELATIONSHIP, "source_entity_name", "target_entity_name").select(
-        "request_id", "source_entity_name", "target_entity_name")
-    # Evidence depends on (sender name, receiver name) only; a request uses it forwards, and the
-    # evidence of the swapped pair backwards.
-    pairs = stage(asked.select(F.inline(F.array(
-        F.struct(F.col("source_entity_name").alias("from_name"), F.col("target_entity_name").alias("to_name")),
-        F.struct(F.col("target_entity_name").alias("from_name"), F.col("source_entity_name").alias("to_name")),
-    ))).distinct(), "asked-pairs")
-    ends = _accounts_of(graph, pairs.select(F.col("from_name").alias("entity_name")).distinct())
-    hits = r.between(graph, ends).filter(r.distinct_ends())
-    hits = hits.join(pairs, [
-        hits.sender_entity_name == pairs.from_name, hits.receiver_entity_name == pairs.to_name])
-    order = r.time_order("sender_entity_id", "receiver_entity_id")
-    # Used twice below; at most ``limit`` rows per pair asked about.
-    first = stage(top_per_group(hits, ["from_name", "to_name"], order, limit), "first-of-pairs")
-
-    def use(forward: bool) -> DataFrame:
-        names = ["source_entity_name", "target_entity_name"]
-        keys = dict(zip(["from_name", "to_name"], names if forward else names[::-1]))
-        on = [first[k] == asked[v] for k, v in keys.items()]
-        return first.join(asked, on).select("request_id", *r.relationship_rows(F.lit(forward)))
+    """Both directions of every relationship request, each capped like a single question.
 
-    return use(True).unionByName(use(False))
+    Evidence depends on (sender name, receiver name) only: it is found and cut once for each such pair that
+    is asked about, then given to all requests that use it.
+    """
+    uses = _pair_uses(requests)
+    pairs = uses.select("from_name", "to_name").distinct()
+    ends = asked_accounts(graph, requests) if accounts is None else accounts
+    hits = r.between(graph, ends).filter(r.distinct_ends()).join(
+        pairs, (F.col("sender_entity_name") == pairs.from_name) & (F.col("receiver_entity_name") == pairs.to_name))
+    order = r.time_order("sender_entity_id", "receiver_entity_id")
+    first = top_per_group(hits, ["from_name", "to_name"], order, limit)
+    return first.join(uses, ["from_name", "to_name"]).select("request_id", *r.relationship_rows(F.col("forward")))
 
 
 def laundering_evidence(
-    graph: GraphTables, requests: DataFrame, limit: int = r.MAX_ROWS
+    graph: GraphTables, requests: DataFrame, limit: int = r.MAX_ROWS, accounts: DataFrame | None = None
 ) -> DataFrame:
     """Labelled transfers of every named entity asked about, capped per direction."""
-    asked = _valid(requests, LAUNDERING, "entity_name").select(
-        "request_id", F.col("entity_name").alias("searched_entity"))
+    asked = _searched(requests)
     names = asked.select(F.col("searched_entity").alias("entity_name")).distinct()
-    first = r.first_laundering_rows(graph, _accounts_of(graph, names), limit)
+    all_named = asked_accounts(graph, requests) if accounts is None else accounts
+    first = r.first_laundering_rows(graph, all_named.join(names, "entity_name", "left_semi"), limit)
     return first.join(asked, "searched_entity").select("request_id", *r.LAUNDERING_COLUMNS)
 
 
@@ -140,9 +145,10 @@ def answer_requests(graph: GraphTables, requests: DataFrame) -> DataFrame:
     repeated = _repeated(requests)
     single = requests.join(repeated.withColumnRenamed("request_id", "_id"),
                            F.col("request_id").eqNullSafe(F.col("_id")), "left_anti")
+    accounts = asked_accounts(graph, single)
     parts = {
-        RELATIONSHIP: relationship_evidence(graph, single),
-        LAUNDERING: laundering_evidence(graph, single),
+        RELATIONSHIP: relationship_evidence(graph, single, accounts=accounts),
+        LAUNDERING: laundering_evidence(graph, single, accounts=accounts),
         TOP_SENDERS: top_sender_evidence(graph, single),
     }
     errors = request_status(single).filter(F.col("status") == "ERROR")
