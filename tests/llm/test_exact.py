@@ -197,6 +197,65 @@ def test_urls_split_hosts_of_many_pages(spark):
         assert found["cheappills0.market.biz"].words[:2] == ["cheap", "pills"] and "market" in found["cheappills0.market.biz"].words
 
 
+def test_urls_split_by_brute_force(spark):
+    """The likeliest of all splits, as cost is defined: words, and stretches that do not follow each other."""
+    rng = random.Random(5)
+    words = {"ab": 9, "abc": 4, "ca": 7, "bca": 3, "a": 5, "cabca": 2, "abcabcab": 1}
+    labels = sorted({"".join(rng.choice("abcx") for _ in range(rng.randint(1, 9))) for _ in range(120)} | {"abcabcab", "ab"})
+    total, new = sum(words.values()), np.log(2 / (sum(words.values()) + 1))
+
+    def costs(part, n):
+        short = urls.SHORT_COST * max(urls.SHORT - len(part), 0)
+        if part in words:
+            yield np.log(words[part] / total) - (short if len(part) < n else 0), True
+        yield new - len(part) * np.log(urls.LETTERS) - (short if len(part) < min(urls.SHORT, n) else 0), False
+
+    def best(parts, n, after_word=True):
+        if not parts:
+            return 0.0
+        return max((c + best(parts[1:], n, word) for c, word in costs(parts[0], n) if word or after_word), default=-np.inf)
+
+    def splits(label):
+        for mask in range(1 << (len(label) - 1)):
+            cuts = [0, *[i + 1 for i in range(len(label) - 1) if mask >> i & 1], len(label)]
+            yield [label[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    found = urls.segment(spark.createDataFrame([(x,) for x in labels], "label string"),
+                         spark.createDataFrame(list(words.items()), "word string, n long")).collect()
+    assert len(found) == len(labels)
+    for r in found:
+        assert "".join(r.words) == r.label
+        assert abs(best(r.words, len(r.label)) - max(best(p, len(r.label)) for p in splits(r.label))) < 1e-9, r
+
+
+def test_urls_long_words_and_labels(spark):
+    long = "abcdefghijklmnopqrstuvwxyz0123456789"
+    counts = spark.createDataFrame([(long, 9), (long[:30] + "zzz", 9), ("cheap", 9)], "word string, n long")
+    hard = "cheap" + long + "cheap"
+    huge = "cheap" * 8000
+    began = time.time()
+    found = {r.label: r.words for r in urls.segment(
+        spark.createDataFrame([(hard,), (hard,), (long,), (huge,)], "label string"), counts).collect()}
+    assert found == {hard: ["cheap", long, "cheap"], long: [long], huge: ["cheap"] * 8000}
+    assert time.time() - began < 60
+
+
+def test_urls_model_sees_no_tokens_of_rules(spark):
+    assert urls.tested(urls.RULES) == ["/en", "/es", "/fr", "com", "example", "net", "www"]
+    pages = spark.createDataFrame(
+        [(i, f"http://m{i}.example.com/de/news", None) for i in range(30)] +
+        [(100 + i, f"http://m{i}.example.net/es/spin", None) for i in range(3)] +
+        [(200, "http://u.example.net/de/new", None), (201, "http://u.example.org/es/spin", None), (202, "http://u.org/en/news", None),
+         (202, "http://u.org/en/news", None), (None, "http://u.org/en/news", "x")], "page_id long, url string, html string")
+    seen = urls.tokens_of(pages).collect()
+    assert len(seen) == 38 and not {t for r in seen for t in r.tokens} & set(urls.tested(urls.RULES))
+    found = {(r.page_id, r.host): r for r in urls.judge(pages, known={}).collect()}
+    assert found[201, "u.example.org"].verdict == "block" and found[202, "u.org"].verdict == "allow"
+    assert found[201, "u.example.org"].rule is None and found[103 - 1, "m2.example.net"].rule == "net/es/"
+    table = {(r.verdict, r.predicted): r.n for r in urls.agreement(pages, known={}, folds=2).collect()}
+    assert sum(table.values()) > 0 and set(table) <= {("allow", "allow"), ("block", "block"), ("allow", "block"), ("block", "allow")}
+
+
 def test_mix(spark, docs, rows):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     table = table.unionByName(table.limit(5).withColumn("source", F.lit(None).cast("string")))
