@@ -171,6 +171,35 @@ GROUP BY ALL""")(  # names of banks stand in for those of entities, which are co
         build.clean_accounts(m.raw_accounts(s, d)).select("entity_id", F.col("bank_name").alias("entity_name")),
         "entity_id", "entity_name"))
 
+@check("v8_gate_outcomes", with_(ACC, DIRTY_RAW, TX).rstrip() + """, gates AS (
+  SELECT 'banks' AS gate, 'several names' AS rule, count(*) AS broken
+  FROM (SELECT bank_id FROM acc GROUP BY bank_id HAVING count(DISTINCT bank_name) > 1)
+  UNION ALL SELECT 'entities', 'several names', count(*)
+  FROM (SELECT entity_id FROM acc GROUP BY entity_id HAVING count(DISTINCT entity_name) > 1)
+  UNION ALL SELECT 'segments', 'several names', count(*)
+  FROM (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_mktsegment) > 1)
+  UNION ALL SELECT 'transactions', 'no time', count(*) FILTER ("timestamp" IS NULL) FROM tx
+  UNION ALL SELECT 'transactions', 'no receiver', count(*) FILTER (to_account_key IS NULL) FROM tx)
+SELECT gate, rule, broken, CASE WHEN sum(broken) OVER (PARTITION BY gate) = 0 THEN 'passed' ELSE 'stopped' END AS outcome FROM gates""")
+def v8(spark, d):
+    """Gates measured while the tables are written; names of segments stand in for inconsistent ones of banks."""
+    accounts = build.clean_accounts(m.raw_accounts(spark, d))
+    segments = m.table(spark, d, "customer").select("c_nationkey", "c_mktsegment")
+    several = {"several names": F.col("several")}
+    tables = {
+        "banks": (validate.names_per_key(accounts, "bank_id", "bank_name"), several),
+        "entities": (validate.names_per_key(accounts, "entity_id", "entity_name"), several),
+        "segments": (validate.names_per_key(segments, "c_nationkey", "c_mktsegment"), several),
+        "transactions": (transactions(spark, d, dirty=True), {
+            "no time": F.col("timestamp").isNull(), "no receiver": F.col("to_account_key").isNull()}),
+    }
+    rows = []
+    for gate, (df, rules) in tables.items():
+        _, broken = validate.measured(df, rules)
+        rows += [(gate, rule, n, "stopped" if any(broken.values()) else "passed") for rule, n in broken.items()]
+    return spark.createDataFrame(rows, "gate string, rule string, broken bigint, outcome string")
+
+
 check("v9_duplicate_transaction_keys", """
 SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")(

@@ -226,6 +226,24 @@ ACCOUNT_NAMES = ["bank_name", "bank_id", "account_number", "entity_id", "entity_
 SELECT time_text, CAST(from_bank AS VARCHAR) AS from_bank, from_number, CAST(to_bank AS VARCHAR) AS to_bank,
        to_number, payment_format, CAST(code AS VARCHAR) AS code FROM raw""")
 def s1(spark, d):
+    return two_headings(spark, d).select(
+        F.col("Timestamp").alias("time_text"), F.col("From Bank").alias("from_bank"),
+        F.col("from_account").alias("from_number"), F.col("To Bank").alias("to_bank"),
+        F.col("to_account").alias("to_number"), F.col("Payment Format").alias("payment_format"),
+        F.col("Is Laundering").alias("code"))
+
+
+check("s1_csv_scan_all_columns", with_(RAW) + "SELECT * FROM raw")(
+    lambda s, d: two_headings(s, d).select(
+        F.col("Timestamp").alias("time_text"), F.col("From Bank").cast("bigint").alias("from_bank"),
+        F.col("from_account").alias("from_number"), F.col("To Bank").cast("bigint").alias("to_bank"),
+        F.col("to_account").alias("to_number"), F.col("Amount Received").cast("double").alias("amount_received"),
+        F.col("Receiving Currency").alias("receiving_currency"), F.col("Amount Paid").cast("double").alias("amount_paid"),
+        F.col("Payment Currency").alias("payment_currency"), F.col("Payment Format").alias("payment_format"),
+        F.col("Is Laundering").cast("int").alias("code")))
+
+
+def two_headings(spark, d):
     """Written with two equal headings (first line of every file) and read back by name."""
     folder = fresh_folder(spark)
     raw = m.raw_transactions(spark, d)
@@ -236,11 +254,7 @@ def s1(spark, d):
         F.lit(",".join(RAW_TRANSACTION_HEADINGS)).alias("value"), F.col("id").alias("part"), F.lit(0).alias("at"))
     rows = heading.unionByName(lines).repartition("part").sortWithinPartitions("part", "at")
     rows.drop("at").write.partitionBy("part").text(folder)
-    return files.read_raw_transactions(spark, folder).select(
-        F.col("Timestamp").alias("time_text"), F.col("From Bank").alias("from_bank"),
-        F.col("from_account").alias("from_number"), F.col("To Bank").alias("to_bank"),
-        F.col("to_account").alias("to_number"), F.col("Payment Format").alias("payment_format"),
-        F.col("Is Laundering").alias("code"))
+    return files.read_raw_transactions(spark, folder)
 
 
 def written_accounts(spark, d, name="Accounts-Small.csv"):
@@ -269,6 +283,21 @@ def s3(spark, d):
     return shapes({n.split("/")[0]: df for n, df in found.items() if "_Small/" in n})
 
 
+@check("s3_matching_rows", """
+SELECT 'Banks_Small' AS table_name, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation
+UNION ALL SELECT 'Regions_Small', CAST(r_regionkey AS VARCHAR), r_name FROM region""")
+def s3_rows(spark, d):
+    """What the files whose names match hold; names are matched regardless of case."""
+    folder = fresh_folder(spark)
+    for name, table in (("Banks_Small", "nation"), ("Regions_Small", "region"), ("Banks_Large", "nation")):
+        df = m.table(spark, d, table)
+        files.write_table(df.coalesce(1), f"{folder}/{name}", "csv")  # one file, as these tables are small
+    found = {n: df for n, df in files.read_matching(spark, folder, "PART-*.CSV").items() if "_Small/" in n}
+    parts = [df.select(F.lit(n.split("/")[0]).alias("table_name"), F.col(df.columns[0]).alias("key"), F.col(df.columns[1]).alias("name"))
+             for n, df in sorted(found.items())]
+    return parts[0].unionByName(parts[1])
+
+
 RANK = "md5('42|' || transaction_id)"
 check("s4_sample", GRAPH + f"SELECT transaction_id FROM tx WHERE {RANK} < '028f5c28f5c2'")(
     lambda s, d: sampling.repeatable_sample(m.graph(s, d).transactions, ["transaction_id"], 0.01)
@@ -326,6 +355,19 @@ def v16(spark, d):
 check("s8_file_manifest")(lambda s, d: files.copy_manifest(s, bundle(s, d)[1]))
 
 
+@check("s8_folder_sizes", """
+SELECT 'priority=' || o_orderpriority AS folder, CAST(sum(strlen(o_orderkey || ',' || o_custkey || ',' || o_orderstatus) + 1) AS BIGINT) AS bytes
+FROM orders GROUP BY o_orderpriority""")
+def s8_sizes(spark, d):
+    """The manifest of text files whose sizes follow from the rows, by folder; names hold blanks."""
+    folder = fresh_folder(spark)
+    m.table(spark, d, "orders").select(
+        F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("value"),
+        F.col("o_orderpriority").alias("priority")).write.partitionBy("priority").text(folder)
+    return files.copy_manifest(spark, folder).groupBy(F.substring_index("file_name", "/", 1).alias("folder")).agg(
+        F.sum("file_size").cast("bigint").alias("bytes"))
+
+
 @check("s9_inline_rows", with_(RAW) + """
 SELECT v.name, count(*) AS n FROM raw JOIN (VALUES ('O', 'Open'), ('F', 'Final'), ('P', 'Partial')) v(code, name)
 ON raw.payment_currency = v.code GROUP BY v.name""")

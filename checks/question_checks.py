@@ -274,3 +274,81 @@ def q10_counts(spark, d):
 check("q10_evidence_pack")(pack)
 check("q11_flatten_evidence")(
     lambda s, d: rq.flatten_evidence(rq.answer_requests(m.graph(s, d), m.requests(s, d))))
+
+
+# --- values of evidence, of packs and of what is shown ---------------------------------------
+
+REL_NUMBERED = f"""
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY "timestamp" NULLS LAST,
+  CASE direction WHEN 'SOURCE_TO_TARGET' THEN 0 ELSE 1 END, transaction_id, {ENDS}) AS row_number FROM rel_top"""
+EV_NUMBERED = f"""
+SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY "timestamp" NULLS LAST,
+  CASE direction WHEN 'OUTGOING' THEN 0 ELSE 1 END, transaction_id, {PARTIES}) AS row_number FROM ev_top"""
+
+
+def answered(intent, columns):
+    return lambda s, d: rq.answer_requests(m.graph(s, d), m.requests(s, d)).filter(
+        (F.col("intent") == intent) & F.col("error").isNull()).select(
+            "request_id", F.col("row_number").cast("bigint").alias("row_number"), *columns)
+
+
+check("q9_answered_relationships", BATCH + REL_NUMBERED)(answered(rq.RELATIONSHIP, r.RELATIONSHIP_COLUMNS))
+check("q9_answered_laundering", BATCH + EV_NUMBERED)(answered(rq.LAUNDERING, r.LAUNDERING_COLUMNS))
+
+_TRANSFER = "transaction_id string, timestamp timestamp_ntz, amount double, currency string, payment_format string, is_laundering boolean"
+PACKED = {  # fields of the entries of each intent's JSON
+    rq.RELATIONSHIP: "source_entity_id string, source_entity string, target_entity_id string, target_entity string, "
+                     "direction string, " + _TRANSFER,
+    rq.LAUNDERING: "searched_entity_id string, searched_entity string, direction string, searched_entity_bank string, "
+                   "counterparty_id string, counterparty string, counterparty_bank string, " + _TRANSFER,
+    rq.TOP_SENDERS: "entity_id string, entity_name string, laundering_transaction_count bigint, "
+                    "totals_by_currency array<struct<currency:string,transaction_count:bigint,total_amount:double>>",
+}
+
+
+def unpacked(intent):
+    """Entries of the packed JSON, parsed again, with their places."""
+    def query(spark, d):
+        parsed = pack(spark, d).filter(F.col("intent") == intent).select(
+            "request_id", F.posexplode(F.from_json("evidence", f"array<struct<{_colons(PACKED[intent])}>>")).alias("at", "entry"))
+        return parsed.select("request_id", (F.col("at") + 1).cast("bigint").alias("row_number"), "entry.*")
+
+    return query
+
+
+def _colons(schema):
+    """A list of columns as the fields of a struct type."""
+    return ",".join(p.strip().replace(" ", ":", 1) for p in schema.split(", "))
+
+
+check("q10_packed_relationships", BATCH + f"SELECT * FROM ({REL_NUMBERED}) WHERE row_number <= 50")(unpacked(rq.RELATIONSHIP))
+check("q10_packed_laundering", BATCH + f"SELECT * FROM ({EV_NUMBERED}) WHERE row_number <= 50")(unpacked(rq.LAUNDERING))
+
+SENDER_VALUES = BATCH + """
+SELECT request_id, place AS row_number, entity_id, entity_name, laundering_transaction_count, currency, transaction_count, total_amount
+FROM best JOIN (""" + TOTALS + ") USING (entity_id, entity_name)"
+_SENDER = ["request_id", "row_number", "entity_id", "entity_name", "laundering_transaction_count"]
+check("q10_packed_senders", SENDER_VALUES)(
+    lambda s, d: unpacked(rq.TOP_SENDERS)(s, d).select(*_SENDER, F.inline("totals_by_currency")))
+
+
+@check("q11_shown_senders", SENDER_VALUES)
+def q11_senders(spark, d):
+    """Totals shown as JSON text, parsed again."""
+    shown = rq.flatten_evidence(rq.answer_requests(m.graph(spark, d), m.requests(spark, d)))
+    totals = F.from_json("totals_by_currency", "array<struct<currency:string,transaction_count:bigint,total_amount:double>>")
+    return shown.filter(F.col("intent") == rq.TOP_SENDERS).withColumn("row_number", F.col("row_number").cast("bigint")).select(
+        *_SENDER, F.inline(totals))
+
+
+check("q11_shown_relationships", BATCH + f"""
+SELECT request_id, row_number, direction, transaction_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS time_shown, amount
+FROM ({REL_NUMBERED})""")(
+    lambda s, d: rq.flatten_evidence(rq.answer_requests(m.graph(s, d), m.requests(s, d)))
+    .filter(F.col("intent") == rq.RELATIONSHIP).filter(F.col("error").isNull())
+    .select("request_id", F.col("row_number").cast("bigint").alias("row_number"), "direction", "transaction_id",
+            F.col("timestamp").alias("time_shown"), "amount"))
+
+check("q3_nested_values", GRAPH + f"SELECT t.* , c.laundering_transaction_count FROM ({top(5)}) c JOIN ({TOTALS}) t USING (entity_id, entity_name)")(
+    lambda s, d: r.top_laundering_senders(m.graph(s, d), 5).select(
+        "entity_id", "entity_name", "laundering_transaction_count", F.inline("totals_by_currency")))

@@ -1,15 +1,17 @@
-"""Data-quality checks. Each returns a DataFrame; only ``require_empty`` runs a job."""
+"""Data-quality checks. Each returns a DataFrame; only the gates run jobs."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
+from remitgraph.plans.staging import stage
 from remitgraph.plans.tables import EDGE_ENDS, NODE_KEYS, GraphTables
 
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -116,6 +118,32 @@ def require_consistent_names(nodes: DataFrame) -> None:
         require_empty(names.filter("lo <> hi"), f"{what} has several names")
 
 
+def measured(df: DataFrame, rules: dict[str, Column], name: str = "gated") -> tuple[DataFrame, dict[str, int]]:
+    """The staged table, and how many of its rows break each rule: counted while it is written, in no pass of its own.
+
+    A rule is a condition that holds for a bad row. A task that runs again may count its rows again, so a
+    count is exact where it is 0, and at least the number of bad rows where it is not.
+    """
+    seen = Observation()
+    counts = [F.count_if(bad).alias(f"c{i}") for i, bad in enumerate(rules.values())]
+    kept = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), name)
+    return kept, {rule: seen.get[f"c{i}"] for i, rule in enumerate(rules)}
+
+
+def gated(df: DataFrame, rules: dict[str, Column], name: str = "gated") -> DataFrame:
+    """The staged table, if no row of it breaks a rule; else an error that says how many break which."""
+    kept, broken = measured(df, rules, name)
+    if any(broken.values()):
+        raise ValueError("; ".join(f"{n} rows: {rule}" for rule, n in broken.items() if n))
+    return kept
+
+
+def names_per_key(nodes: DataFrame, key: str, name: str) -> DataFrame:
+    """One row per key with its first name and whether it has others (``several``): what banks and entities are made of."""
+    pairs = nodes.select(key, name).distinct()  # hashed in every task, before anything is sorted
+    return pairs.groupBy(key).agg(F.min(name).alias("name"), F.coalesce(F.min(name) < F.max(name), F.lit(False)).alias("several"))
+
+
 def transaction_summary(transactions: DataFrame) -> DataFrame:
     return transactions.agg(
         F.count("*").alias("transaction_node_rows"),

@@ -56,6 +56,24 @@ def test_gates(spark):
         validate.require_consistent_names(nodes)
 
 
+def test_gates_measured_while_written(spark, rows):
+    nodes = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C"), (2, "C"), (2, None), (None, "D"), (3, None)], "k bigint, n string")
+    names = validate.names_per_key(nodes, "k", "n")
+    assert {r.k: (r.name, r.several) for r in names.collect()} == {
+        1: ("A", True), 2: ("C", False), None: ("D", False), 3: (None, False)}
+    kept, broken = validate.measured(names, {"several names": F.col("several"), "no name": F.col("name").isNull()})
+    assert broken == {"several names": 1, "no name": 1} and rows(kept) == rows(names)
+    with pytest.raises(ValueError, match="1 rows: several names$"):
+        validate.gated(names, {"several names": F.col("several"), "no key": F.col("name") == "X"})
+    good = validate.gated(names.filter("k = 2"), {"several names": F.col("several")})
+    assert good.count() == 1
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    validate.measured(spark.range(100), {"odd": F.col("id") % 2 == 1})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs + 1  # the write, no pass of its own
+    for none in (nodes.limit(0), spark.createDataFrame([], "k bigint, n string")):
+        assert validate.measured(none, {"no name": F.col("n").isNull()})[1] == {"no name": 0}
+
+
 def test_manifests(spark, rows):
     schema = "file_name string, file_size bigint"
     a = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], schema)
