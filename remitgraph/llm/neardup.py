@@ -8,14 +8,16 @@ signature give candidates; every link is then confirmed on the full sets.
 Equal sets are one class from the start. In a group of classes that share a band not all pairs are
 looked at: two members, those that share most bands with others, are compared with all. Members that
 are in one component by then need no more comparing. What is not in the group's largest component is
-then compared with the whole group, in blocks of bounded size, each in a task that passes over what it
-has found connected and emits links only. So no link between components is lost, and no list of pairs
-grows with the square of a group of copies. Links and components stay distributed throughout.
+then compared with the members of the group that are near it in size (sets that are alike cannot differ
+more), in blocks of bounded size, each in a task that passes over what it has found connected and emits
+links only. So no link between components is lost, and no list of pairs grows with the square of a group
+of copies. Links and components stay distributed throughout.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,19 +213,28 @@ def _compare(band: int, left: pa.Table, right: pa.Table, alike: int) -> list[tup
     return found
 
 
-def _rest(active: DataFrame, sets: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
-    """Links within groups (band, key, root) of several components.
+def _step(n: str, alike: int) -> F.Column:
+    """The step of a set's size on a ladder on which sets that are alike are at most one step apart."""
+    # Steps are a little wider than what alike sets may differ by, so rounding decides nothing.
+    return F.floor(F.log(F.col(n)) / F.lit(math.log(100 / alike) * 1.001 + 1e-9)).cast("long")
+
 
-    What is not in a group's largest component is compared with the whole group, block by block; a
-    block has about ``BLOCK`` members, and only links leave a task.
+def _blocks(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members to be compared, left with right, where band, step, l and r agree; of groups of several components.
+
+    ``active`` has band, key, root and step. The left are those outside the group's largest component, the
+    right all members at most one step away from them. A block has about ``BLOCK`` of either.
     """
-    size = active.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = size.groupBy("band").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("all"))
-    split = major.filter(F.col("all") > F.col("major.n")).select(
-        "band", F.col("major.root").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"),
-        F.ceil((F.col("all") - F.col("major.n")) / BLOCK).cast("int").alias("lefts"))
-    whole = sets.join(classes.select("key", "bands"), "key").select("key", "values", "bands")
-    members = active.select("band", "key", "root").join(split, "band").join(whole, "key")
+    size = active.groupBy("band", "root", "step").agg(F.count(F.lit(1)).alias("n"))
+    whole = size.groupBy("band", "root").agg(F.sum("n").alias("n"))
+    major = whole.groupBy("band").agg(F.max(F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("roots"))
+    major = major.filter("roots > 1").select("band", F.col("major.root").alias("major"))
+    around = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
+    minor = (size.join(major, "band").filter("root <> major").groupBy("band", "step", "major")
+             .agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("lefts")))
+    near = (size.select("band", "n", around).groupBy("band", "step")
+            .agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("rights")))
+    split = stage(minor.join(near, ["band", "step"]), "blocks")
 
     def block(n: str) -> F.Column:
         return F.pmod(F.xxhash64(F.lit(3), "key"), F.col(n)).cast("int")
@@ -231,16 +242,25 @@ def _rest(active: DataFrame, sets: DataFrame, classes: DataFrame, alike: int) ->
     def every(n: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    columns = ["band", "key", "root", "bands", "values"]
-    left = members.filter("root <> major").select(*columns, block("lefts").alias("l"), every("rights").alias("r"))
-    right = members.select(*columns, block("rights").alias("r"), every("lefts").alias("l"))
+    own = ["band", "key", "root"]
+    left = (active.join(split, ["band", "step"]).filter("root <> major")
+            .select(*own, "step", block("lefts").alias("l"), every("rights").alias("r")))
+    right = (active.select(*own, around).join(split, ["band", "step"])
+             .select(*own, "step", block("rights").alias("r"), every("lefts").alias("l")))
+    return left, right
+
+
+def _rest(active: DataFrame, sets: DataFrame, classes: DataFrame, alike: int) -> DataFrame:
+    """Links within groups (band, key, root, step) of several components; only links leave a task."""
+    whole = sets.join(classes.select("key", "bands"), "key").select("key", "values", "bands")
+    left, right = (side.join(whole, "key") for side in _blocks(active))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, apart from the left's
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         found = _compare(key[0].as_py(), a, b, alike) if a.num_rows and b.num_rows else []
         return pa.table({"a": pa.array([max(f) for f in found], pa.binary()), "b": pa.array([min(f) for f in found], pa.binary())})
 
-    group = ["band", "l", "r"]
+    group = ["band", "step", "l", "r"]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, "a binary, b binary").distinct()
 
 
@@ -266,7 +286,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, alike: int =
     found = stage(_confirmed(pairs, sets, alike), "confirmed")
     left = members.filter(F.col("size") > SMALL_GROUP)
     active = (left.join(components(found).withColumnRenamed("node", "key"), "key", "left")
-              .select("band", "key", F.coalesce("root", "key").alias("root")))
+              .join(sets.select("key", _step("n_shingles", alike).alias("step")), "key")
+              .select("band", "key", F.coalesce("root", "key").alias("root"), "step"))
     return found.union(stage(_rest(stage(active, "active"), sets, classes, alike), "confirmed"))
 
 

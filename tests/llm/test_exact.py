@@ -340,6 +340,43 @@ def test_near_duplicates(spark, docs):
     assert neardup.near_duplicates(docs(rows).limit(0)).count() == 0
 
 
+def test_sizes_split_groups(spark):
+    """Sets that may be alike meet once; those whose sizes rule it out do not, so a wide group is not compared in full."""
+    for alike in (50, 80, 95, 100):
+        steps = [r.s for r in spark.range(1, 3000).select(neardup._step("id", alike).alias("s")).orderBy("id").collect()]
+        for n, s in enumerate(steps, 1):  # the largest set that can be alike is the furthest away
+            assert steps[min(100 * n // alike, len(steps)) - 1] - s in (0, 1)
+    rng = random.Random(3)
+    sizes = {i: int(1.3 ** rng.uniform(0, 20)) + 1 for i in range(1500)}
+    root = {i: 0 if i < 100 else i for i in sizes}
+    rows = [(7, bytearray(i.to_bytes(4, "big")), bytearray(root[i].to_bytes(4, "big")), n) for i, n in sizes.items()]
+    rows += [(8, bytearray([1, i]), bytearray([1, 0]), 5) for i in range(20)]  # one component: nothing to do
+    active = (spark.createDataFrame(rows, "band long, key binary, root binary, n long")
+              .select("band", "key", "root", neardup._step("n", 80).alias("step")))
+    left, right = neardup._blocks(active)
+    group = ["band", "step", "l", "r"]
+    met = left.select(*group, F.col("key").alias("a")).join(right.select(*group, F.col("key").alias("b")), group).select("band", "a", "b").toPandas()
+    assert set(met["band"]) == {7}
+    pairs = collections.Counter((int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in zip(met["a"], met["b"]))
+    assert set(pairs.values()) == {1}
+    due = {(a, b) for a in sizes if a >= 100 for b in sizes if 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])}
+    assert due <= pairs.keys() and len(pairs) < 0.25 * 1400 * 1500
+    assert left.groupBy(*group).count().agg(F.max("count")).first()[0] < 2 * neardup.BLOCK
+
+
+def test_near_duplicates_of_many_lengths_in_one_band(spark, docs):
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(40)]
+    rows = []
+    for i in range(120):  # texts around one passage, of which few are alike
+        own = [f"o{rng.randint(0, 10**6)}" for _ in range(rng.choice([4, 8, 16, 40, 90, 200]))]
+        rows.append((10 * i, " ".join(shared + own)))
+        if i % 4 == 0:
+            rows.append((10 * i + 1, " ".join(shared + own[:-2] + ["x", "y"])))
+    found = neardup.near_duplicates(docs(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute_components(rows))
+
+
 def test_components(spark):
     links = [(bytes([a]), bytes([b])) for a, b in [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)] + [(i, i + 1) for i in range(30, 90)]]
     found = {r.node[0]: r.root[0] for r in neardup.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in links], "a binary, b binary")).collect()}
