@@ -11,11 +11,15 @@ known.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+COMPRESSION = "zstd"  # ids are hashes in hex digits: this codec finds the four bits a digit holds, others store eight
+_HEX, _TEXT = b"\x00", b"\x01"  # first byte of packed text
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,10 +46,39 @@ def _own_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", COMPRESSION).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(df: DataFrame, name: str = "stage") -> Iterator[DataFrame]:
+    """As ``stage``, for as long as the block lasts: what is needed once does not stay on disk."""
+    spark = df.sparkSession
+    kept = stage(df, name)
+    try:
+        yield kept
+    finally:
+        for folder in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """Text columns as bytes for a shuffle: text of hex digits, as ids are, in half its length. Other columns stay.
+
+    Equal text gives equal bytes and the reverse, so what is packed can be grouped and joined.
+    """
+    digits = {n: F.unhex(n) for n in names}
+    return df.withColumns({n: F.when(F.lower(F.hex(bytes_)) == F.col(n), F.concat(F.lit(_HEX), bytes_)).otherwise(
+        F.concat(F.lit(_TEXT), F.col(n).cast("binary"))) for n, bytes_ in digits.items()})
+
+
+def unpacked(df: DataFrame, *names: str) -> DataFrame:
+    body = {n: F.substring(n, 2, 2**31 - 1) for n in names}
+    return df.withColumns({n: F.when(F.substring(n, 1, 1) == F.lit(_HEX), F.lower(F.hex(bytes_))).otherwise(
+        bytes_.cast("string")) for n, bytes_ in body.items()})
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of every group, with their position in ``row_number``.
 

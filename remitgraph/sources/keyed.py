@@ -7,6 +7,10 @@ stored side of every join its exchange. Edges are only ever added: the new ones
 costs what the batch costs, and the parts it falls into; choose ``parts`` so that a batch of usual size
 falls into few, or that a part is small.
 
+A batch with more rows than ``ROWS_PER_TASK`` for each bucket would keep as many tasks busy as there are
+buckets, for long. It is joined over all tasks instead, both sides shuffled once, with packed ids; nothing is
+joined with a table that is still empty.
+
 Tables are external: the folder is the store, and ``open_store`` makes it known to any session.
 """
 
@@ -22,11 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitgraph.operators import load
-from remitgraph.plans.staging import stage
+from remitgraph.plans.staging import COMPRESSION, packed, stage, staged, unpacked
 from remitgraph.plans.tables import EDGE_ENDS, NODE_KEYS, SCHEMAS
 
 PARTS, BUCKETS = 64, 16
 
+# Beyond so many rows of a batch for each bucket, buckets are too few tasks.
+ROWS_PER_TASK = 500_000
+
 
 def _columns(table: str) -> list[str]:
     """The stored properties of a node, the two ends of an edge."""
@@ -58,6 +65,17 @@ class KeyedStore:
         """All eight, as ``load.as_graph`` takes them."""
         return {table: self.read(table) for table in [*NODE_KEYS, *EDGE_ENDS]}
 
+    def is_empty(self, table: str) -> bool:
+        """Whether nothing was ever put into a table: it has no parts, of which there are few."""
+        return self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").isEmpty()
+
+    def is_large(self, batch: DataFrame) -> bool:
+        """Whether a staged batch is too much work for one task of each bucket."""
+        return batch.count() > self.buckets * ROWS_PER_TASK
+
+    def bucket(self, *key: str) -> Column:
+        return F.pmod(F.hash(*key), F.lit(self.buckets))
+
     def part(self, *key: str) -> Column:
         return F.pmod(F.xxhash64(*key), F.lit(self.parts)).cast("int")
 
@@ -82,6 +100,7 @@ def open_store(spark: SparkSession, path: str, parts: int = PARTS, buckets: int
         known = spark.createDataFrame([], SCHEMAS[table]).schema
         columns = ", ".join(f"`{c}` {known[c].dataType.simpleString()}" for c in _columns(table))
         spark.sql(f"CREATE TABLE IF NOT EXISTS {store.name(table)} ({columns}, part int) USING parquet PARTITIONED BY (part) "
+                  f"OPTIONS ('compression' '{COMPRESSION}') "
                   f"CLUSTERED BY ({', '.join(_key(table))}) INTO {store.buckets} BUCKETS LOCATION '{path}/{table}'")
         if layout:
             spark.catalog.recoverPartitions(store.name(table))
@@ -106,34 +125,63 @@ def latest(incoming: DataFrame, key: str) -> DataFrame:
     return incoming.groupBy(key).agg(F.max_by(values, load.SEQ).alias("row")).select("row.*")
 
 
+def _long_text(*columns: str) -> list[str]:
+    """Those of the columns that are packed for a shuffle."""
+    return [n for n in columns if n == NODE_KEYS["transactions"][1]]
+
+
 def merged_nodes(store: KeyedStore, table: str, batch: DataFrame) -> DataFrame:
-    """The parts that a batch (one row per key) falls into, as they are after it."""
+    """The parts that a staged batch (one row per key) falls into, as they are after it."""
     key = NODE_KEYS[table][1]
-    spread = batch.repartition(store.buckets, key)  # as the stored rows are: those need no exchange
+    # Spread as the stored rows are, these need no exchange.
+    spread = batch.select(key) if store.is_large(batch) else batch.repartition(store.buckets, key)
     kept = store.within(table, batch).join(spread, key, "left_anti")
     return kept.unionByName(batch.withColumn("part", store.part(key)))
 
 
+def by_file(store: KeyedStore, table: str, rows: DataFrame) -> DataFrame:
+    """Rows with their ``part``, brought together as they are stored, so that few tasks write into one bucket."""
+    ids = _long_text(*_columns(table))
+    placed = packed(rows.withColumn("_bucket", store.bucket(*_key(table))), *ids)
+    return unpacked(placed.hint("rebalance", F.col("part"), F.col("_bucket")), *ids).select(*_columns(table), "part")
+
+
 def upsert(store: KeyedStore, table: str, rows: DataFrame) -> None:
     """Put typed rows with ``load_seq`` into a node table; of a key the last one holds, with all its nulls."""
-    batch = stage(latest(rows, NODE_KEYS[table][1]), "batch")
-    with _by_part(store.spark):
-        merged_nodes(store, table, batch).select(*_columns(table), "part").write.insertInto(store.name(table), overwrite=True)
+    key = NODE_KEYS[table][1]
+    batch = unpacked(latest(packed(rows, *_long_text(key)), key), *_long_text(key))
+
+    def put(merged: DataFrame) -> None:
+        with _by_part(store.spark):
+            by_file(store, table, merged).write.insertInto(store.name(table), overwrite=True)
+
+    if store.is_empty(table):
+        put(batch.withColumn("part", store.part(key)))
+        return
+    with staged(batch, "batch") as batch:
+        put(merged_nodes(store, table, batch))
 
 
 def known_edges(store: KeyedStore, table: str, batch: DataFrame) -> DataFrame:
-    """The edges of a batch whose two nodes are stored.
+    """The edges of a staged batch whose two nodes are stored.
 
     The different ends of a batch are looked up, not its edges, so a node that most edges share is looked
-    up once; the edges then meet the ends found, a join that is split where one end is hot.
+    up once. The edges then meet the ends that were not found: as a rule few, and then no edge is shuffled; if
+    they are many, a join that is split where one end is hot.
     """
+    large = store.is_large(batch)
+    known = batch
     for end, nodes in EDGE_ENDS[table][1]:
         key = NODE_KEYS[nodes][1]
-        ends = batch.select(F.col(end).alias(key)).distinct()
+        ends = batch.select(F.col(end).alias(key))
         there = store.within(nodes, ends).select(key)
-        found = ends.repartition(store.buckets, key).join(there, key, "left_semi").select(F.col(key).alias(end))
-        batch = batch.join(stage(found, "ends"), end, "left_semi")
-    return batch.select(*_columns(table))
+        if large:
+            ids = _long_text(key)
+            lost = unpacked(packed(ends, *ids).distinct().join(packed(there, *ids), key, "left_anti"), *ids)
+        else:
+            lost = ends.distinct().repartition(store.buckets, key).join(there, key, "left_anti")
+        known = known.join(stage(lost, "lost-ends").withColumnRenamed(key, end), end, "left_anti")
+    return known.select(*_columns(table))
 
 
 def new_edges(store: KeyedStore, table: str, batch: DataFrame) -> DataFrame:
@@ -142,12 +190,39 @@ def new_edges(store: KeyedStore, table: str, batch: DataFrame) -> DataFrame:
     return batch.repartition(store.buckets, *ends).join(store.within(table, batch), ends, "left_anti")
 
 
+def added_edges(store: KeyedStore, table: str, batch: DataFrame, rows: int) -> DataFrame:
+    """As ``new_edges`` for a batch of many rows, with their ``part``; the batch may repeat an edge.
+
+    Batch and stored edges are shuffled once, to where the new ones are written, and each is seen there with all
+    its copies. Slices of a bucket keep tasks at about ``ROWS_PER_TASK`` rows of the batch.
+    """
+    ends, here = _columns(table), F.lit(False).alias("stored")
+    seen = batch.select(*ends, here)
+    if not store.is_empty(table):
+        seen = seen.unionByName(store.within(table, batch).select(*ends, F.lit(True).alias("stored")))
+    files = store.parts * store.buckets
+    slices = 1 + rows // (files * ROWS_PER_TASK)
+    place = ["part", "_bucket", "_slice"]
+    placed = seen.withColumns({"part": store.part(*ends), "_bucket": store.bucket(*ends),
+                               "_slice": F.pmod(F.xxhash64(F.lit("slice"), *ends), F.lit(slices))})
+    met = packed(placed, *_long_text(*ends)).repartition(files * slices, *place).groupBy(*place, *ends).agg(F.max("stored").alias("stored"))
+    return unpacked(met.filter(~F.col("stored")), *_long_text(*ends)).select(*ends, "part")
+
+
 def add_edges(store: KeyedStore, table: str, rows: DataFrame) -> None:
     """Append typed edges whose nodes are stored and that are not stored themselves."""
-    batch = known_edges(store, table, stage(rows.distinct(), "batch"))
-    batch = stage(batch, "batch")
-    added = new_edges(store, table, batch).withColumn("part", store.part(*_columns(table)))
-    added.select(*_columns(table), "part").write.insertInto(store.name(table), overwrite=False)
+    ends = _columns(table)
+
+    def put(added: DataFrame) -> None:
+        added.select(*ends, "part").write.insertInto(store.name(table), overwrite=False)
+
+    with staged(rows.dropna(), "batch") as batch:
+        known = known_edges(store, table, batch)
+        if store.is_large(batch):
+            put(added_edges(store, table, known, batch.count()))
+            return
+        with staged(known.distinct(), "batch") as known:  # read by the parts it falls into and by the join
+            put(new_edges(store, table, known).withColumn("part", store.part(*ends)))
 
 
 def load_batch(store: KeyedStore, incoming: dict[str, DataFrame]) -> None:

@@ -1,9 +1,11 @@
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from test_load import incoming
 
 from remitgraph.operators import load
+from remitgraph.plans import staging
 from remitgraph.plans.tables import NODE_KEYS
 from remitgraph.sources import keyed
 
@@ -106,3 +108,31 @@ def test_empty_batches_and_keys_without_values(spark, tmp_path, rows):
     assert rows(store.read("banks")) == [(10, None)]
     keyed.load_batch(store, {"banks": incoming(spark, banks=[("11", "D")])["banks"]})
     assert store.read("banks").count() == 2 and store.stored("banks").filter(F.col("part") != store.part("bank_id")).isEmpty()
+
+
+def test_large_batches_give_what_small_ones_give(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(keyed, "ROWS_PER_TASK", 1)  # so that batches of more rows than buckets count as large
+    test_batches_give_what_whole_loads_give(spark, tmp_path, rows)
+
+
+def test_a_large_batch_uses_more_tasks_than_buckets_and_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "ROWS_PER_TASK", 5)
+    store = keyed.open_store(spark, str(tmp_path / "large"), parts=2, buckets=2)
+    accounts = [(f"1|{i}", str(i)) for i in range(60)]
+    keyed.load_batch(store, incoming(spark, accounts=accounts, entities=[("e", "E")]))
+    edges = spark.createDataFrame([("e", k) for k, _ in accounts] * 2, "entity_id string, account_key string")
+    assert "hashpartitioning(part" in plan(keyed.added_edges(store, "owns", edges, 60)) and store.is_empty("owns")
+    assert keyed.added_edges(store, "owns", edges, 60).rdd.getNumPartitions() == 16  # 2 x 2 files in 4 slices each
+    folder = Path(staging._own_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("batch-*"))
+    keyed.load_batch(store, incoming(spark, 2, owns=[("e", k) for k, _ in accounts[:40]] * 2))
+    keyed.load_batch(store, incoming(spark, 3, owns=[("e", k) for k, _ in accounts[20:]] + [("no", "1|1"), ("e", "no")]))
+    assert store.read("owns").count() == 60 and set(folder.glob("batch-*")) == before
+
+
+def test_packed_text_comes_back(spark):
+    texts = ["", "ab", "AB", "abc", "0a1b", "ünï", "00-2", "\x00\x01", None, "ab" * 32]
+    df = spark.createDataFrame([(t,) for t in texts], "id string")
+    assert {r.id for r in staging.unpacked(staging.packed(df, "id"), "id").collect()} == set(texts)
+    held = {r.id: r.bytes for r in staging.packed(df.withColumn("bytes", F.col("id")), "bytes").collect()}
+    assert len(held["ab" * 32]) == 33 and len({bytes(b) for b in held.values() if b is not None}) == len(texts) - 1
