@@ -2,6 +2,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from graph_fixture import C, P, hand_made
 
 from remitgraph.operators import export, profile, retrieve, validate
@@ -139,3 +140,25 @@ def test_stored_graph_gives_the_same_answers(spark, tmp_path, rows):
     plan = retrieve.entity_relationship(stored, C, C)._jdf.queryExecution().executedPlan().toString()
     assert "sender_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "PushedFilters" in plan and "In(from_account_key, [2|c])" in plan or "EqualTo(from_account_key,2|c)" in plan
+
+
+def test_one_row_of_an_id_is_stored_even_if_its_rows_differ(spark, tmp_path, rows):
+    graph = hand_made(spark)
+    first = graph.transactions.orderBy("transaction_id").limit(1)
+    other = first.withColumns({"from_account_key": F.lit("9|other"), "is_laundering": ~F.col("is_laundering")})
+    mixed = graph.with_(transactions=graph.transactions.unionByName(other))
+    stored = store.write_graph(mixed, str(tmp_path / "g"), buckets=4, derive_edges=True)
+    ids = rows(stored.transactions.select("transaction_id"))
+    assert ids == rows(graph.transactions.select("transaction_id").distinct())
+    assert store.repeated_ids(stored.transactions).isEmpty() and not store.repeated_ids(mixed.transactions).isEmpty()
+
+
+def test_transactions_are_stored_by_one_shuffle_and_edges_derived_from_them(spark, tmp_path, rows):
+    graph = hand_made(spark)
+    plan = store.laid_out(graph, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning(is_laundering") == 1 and "hashpartitioning(transaction_id" not in plan
+    stored = store.write_graph(graph, str(tmp_path / "g"), buckets=4, derive_edges=True)
+    assert not os.path.exists(tmp_path / "g" / "sent") and not os.path.exists(tmp_path / "g" / "received_by")
+    again = store.read_graph(spark, str(tmp_path / "g"))
+    for derived in (stored, again):
+        assert rows(derived.sent) == rows(graph.sent.distinct()) and rows(derived.received_by) == rows(graph.received_by.distinct())
