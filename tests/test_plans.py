@@ -196,3 +196,22 @@ def test_loading_shuffles_edges_once_per_end(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 4
+
+
+def test_line_items_are_shuffled_once(spark):
+    """Receivers are evaluated first, so that line items meet them where they are read."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30000")  # customers of sf0.1 are beyond it, receivers are not
+    try:
+        plan = m.raw_transactions(spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Orders and customers by customer, then orders and line items by order.
+    assert plan.count("Exchange hashpartitioning(") == 4 and plan.count("Exchange hashpartitioning(l_orderkey") == 2
+
+
+def test_staged_transactions_take_no_room_for_what_follows_from_them(spark, tmp_path, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(build, "stage", lambda df, name: staged.setdefault(name, df))
+    m.graph(spark, "/root/testdata/sf0.001", m.FOR_WRITING)
+    assert set(staged) == {"base", "accounts"} and staged["base"].columns == build.ID_PARTS
