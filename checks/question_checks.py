@@ -216,7 +216,7 @@ BATCH = PATH.rstrip() + REQUESTS
 
 
 def evidence(function):
-    return lambda s, d: function(m.graph(s, d), m.requests(s, d))
+    return lambda s, d: function(m.graph(s, d, m.FOR_WRITING), m.requests(s, d))
 
 
 check("q9_relationship_requests", BATCH + "SELECT * FROM rel_top")(evidence(rq.relationship_evidence))
@@ -244,7 +244,7 @@ SELECT request_id, intent, CASE WHEN request_id = 20005 THEN 'two entity names a
 FROM request LEFT JOIN ({EVIDENCE_COUNTS}) c USING (request_id) WHERE c.n IS NOT NULL OR request_id = 20005""")
 def q9(spark, d):
     """All requests in one job; row numbers of a request are consecutive."""
-    rows = rq.answer_requests(m.graph(spark, d), m.requests(spark, d))
+    rows = rq.answer_requests(m.graph(spark, d, m.FOR_WRITING), m.requests(spark, d))
     return rows.groupBy("request_id", "intent", "error").agg(
         F.count("*").alias("rows"), F.max("row_number").cast("bigint").alias("last_row"))
 
@@ -259,7 +259,7 @@ FROM request""")(lambda s, d: rq.request_status(m.requests(s, d)))
 
 def pack(spark, d):
     asked = m.requests(spark, d)
-    return rq.evidence_pack(rq.answer_requests(m.graph(spark, d), asked), asked)
+    return rq.evidence_pack(rq.answer_requests(m.graph(spark, d, m.FOR_WRITING), asked), asked)
 
 
 @check("q10_evidence_counts", BATCH + f"""
@@ -273,7 +273,7 @@ def q10_counts(spark, d):
 
 check("q10_evidence_pack")(pack)
 check("q11_flatten_evidence")(
-    lambda s, d: rq.flatten_evidence(rq.answer_requests(m.graph(s, d), m.requests(s, d))))
+    lambda s, d: rq.flatten_evidence(rq.answer_requests(m.graph(s, d, m.FOR_WRITING), m.requests(s, d))))
 
 
 # --- values of evidence, of packs and of what is shown ---------------------------------------
@@ -287,7 +287,7 @@ SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY "timestamp" NULLS
 
 
 def answered(intent, columns):
-    return lambda s, d: rq.answer_requests(m.graph(s, d), m.requests(s, d)).filter(
+    return lambda s, d: rq.answer_requests(m.graph(s, d, m.FOR_WRITING), m.requests(s, d)).filter(
         (F.col("intent") == intent) & F.col("error").isNull()).select(
             "request_id", F.col("row_number").cast("bigint").alias("row_number"), *columns)
 
@@ -335,7 +335,7 @@ check("q10_packed_senders", SENDER_VALUES)(
 @check("q11_shown_senders", SENDER_VALUES)
 def q11_senders(spark, d):
     """Totals shown as JSON text, parsed again."""
-    shown = rq.flatten_evidence(rq.answer_requests(m.graph(spark, d), m.requests(spark, d)))
+    shown = rq.flatten_evidence(rq.answer_requests(m.graph(spark, d, m.FOR_WRITING), m.requests(spark, d)))
     totals = F.from_json("totals_by_currency", "array<struct<currency:string,transaction_count:bigint,total_amount:double>>")
     return shown.filter(F.col("intent") == rq.TOP_SENDERS).withColumn("row_number", F.col("row_number").cast("bigint")).select(
         *_SENDER, F.inline(totals))
@@ -344,7 +344,7 @@ def q11_senders(spark, d):
 check("q11_shown_relationships", BATCH + f"""
 SELECT request_id, row_number, direction, transaction_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS time_shown, amount
 FROM ({REL_NUMBERED})""")(
-    lambda s, d: rq.flatten_evidence(rq.answer_requests(m.graph(s, d), m.requests(s, d)))
+    lambda s, d: rq.flatten_evidence(rq.answer_requests(m.graph(s, d, m.FOR_WRITING), m.requests(s, d)))
     .filter(F.col("intent") == rq.RELATIONSHIP).filter(F.col("error").isNull())
     .select("request_id", F.col("row_number").cast("bigint").alias("row_number"), "direction", "transaction_id",
             F.col("timestamp").alias("time_shown"), "amount"))

@@ -14,7 +14,7 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from remitgraph.functions import columns as c
 from remitgraph.operators import retrieve as r
-from remitgraph.plans.staging import stage, top_per_group
+from remitgraph.plans.staging import stage, top_per_group, within_reach
 from remitgraph.plans.tables import GraphTables
 
 # The intents a request can carry.
@@ -106,7 +106,7 @@ def relationship_evidence(
     hits = r.between(graph, ends).filter(r.distinct_ends()).join(
         pairs, (F.col("sender_entity_name") == pairs.from_name) & (F.col("receiver_entity_name") == pairs.to_name))
     order = r.time_order("sender_entity_id", "receiver_entity_id")
-    first = top_per_group(hits, ["from_name", "to_name"], order, limit)
+    first = top_per_group(within_reach(hits, ["from_name", "to_name"], "timestamp", limit), ["from_name", "to_name"], order, limit)
     return first.join(uses, ["from_name", "to_name"]).select("request_id", *r.relationship_rows(F.col("forward")))
 
 
@@ -117,7 +117,7 @@ def laundering_evidence(
     asked = _searched(requests)
     names = asked.select(F.col("searched_entity").alias("entity_name")).distinct()
     all_named = asked_accounts(graph, requests) if accounts is None else accounts
-    first = r.first_laundering_rows(graph, all_named.join(names, "entity_name", "left_semi"), limit)
+    first = r.first_laundering_rows(graph, all_named.join(names, "entity_name", "left_semi"), limit, many=True)
     return first.join(asked, "searched_entity").select("request_id", *r.LAUNDERING_COLUMNS)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
-from remitgraph.plans.staging import both_ways, stage, top_per_group
+from remitgraph.plans.staging import both_ways, stage, top_per_group, within_reach
 from remitgraph.plans.tables import OWNS, RECEIVED_BY, SENT, GraphTables
 
 MAX_ROWS = 50
@@ -300,9 +300,11 @@ LAUNDERING_TIES = [
 LAUNDERING_GROUP = ["searched_entity", "direction"]
 
 
-def first_laundering_rows(graph: GraphTables, subjects: DataFrame, limit: int) -> DataFrame:
+def first_laundering_rows(graph: GraphTables, subjects: DataFrame, limit: int, many: bool = False) -> DataFrame:
     """The first ``limit`` result rows per searched name and direction; exact.
 
+    With ``many`` names rows are cut to those that can be among them, by a pass more, before they are sorted.
+
     A stored graph knows which transfers have both ends: each of their paths gives at least one row,
     and rows are in the order of their paths first. So the first ``limit`` paths of a group, equal
     ones included, hold its first ``limit`` rows, and only these meet the account tables.
@@ -310,10 +312,14 @@ def first_laundering_rows(graph: GraphTables, subjects: DataFrame, limit: int) -
     if graph.stored:
         first = Window.partitionBy("subject_entity_name", "direction").orderBy(*time_order("subject_entity_id"))
         paths = laundering_paths(graph, subjects, _flagged(*OWNED, *BANKED, "between_owners"))
+        if many:
+            paths = within_reach(paths, ["subject_entity_name", "direction"], "timestamp", limit)
         paths = paths.withColumn("place", F.rank().over(first)).filter(F.col("place") <= limit).drop("place")
         rows = attach_parties(graph, stage(paths, "paths"), few=True)
     else:
         rows = attach_parties(graph, laundering_paths(graph, subjects))
+        if many:
+            rows = within_reach(rows, LAUNDERING_GROUP, "timestamp", limit)
     first_rows = top_per_group(rows, LAUNDERING_GROUP, time_order(*LAUNDERING_TIES), limit)
     return first_rows.select(*LAUNDERING_COLUMNS)
 

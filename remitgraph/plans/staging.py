@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,23 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("row_number", F.row_number().over(window)).filter(F.col("row_number") <= k)
 
 
+def within_reach(df: DataFrame, group: list[str], first: str, k: int) -> DataFrame:
+    """Rows that may be among the first ``k`` of their group when ordered by ``first`` (nulls last), then by others.
+
+    Rows of a group are dealt into ``2 * k`` slices, in any way. The smallest values of ``k`` slices belong to ``k``
+    different rows, so the k-th smallest of them is a bound that no row of the first ``k`` exceeds; about 1.4 ``k``
+    rows of a group are within it, and those equal to it. A group with fewer values is kept whole. Bounds
+    come from sums as small as the groups, in one pass more over ``df``; only what is left is sorted.
+    """
+    dealt = df.select(*group, first, F.pmod(F.monotonically_increasing_id(), F.lit(2 * k)).alias("_slice"))
+    least = dealt.groupBy(*group, "_slice").agg(F.min(first).alias("least"))
+    bounds = stage(least.groupBy(*[F.col(n).alias(f"_{n}") for n in group]).agg(
+        F.try_element_at(F.sort_array(F.collect_list("least")), F.lit(k)).alias("_bound")), "bounds")
+    same = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in group]
+    near = df.join(bounds, reduce(Column.__and__, same))
+    return near.filter(F.col("_bound").isNull() | (F.col(first) <= F.col("_bound"))).select(*df.columns)
+
+
 def both_ways(df: DataFrame, sides: list[Column]) -> DataFrame:
     """Give every row once per side (each side a struct) in a single scan of the input."""
     kept = [F.col(c) for c in df.columns]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import mapping as m
 from remitgraph.operators import build, load, requests, retrieve, validate
-from remitgraph.plans.staging import shared_folder, stage, top_per_group
+from remitgraph.plans.staging import shared_folder, stage, top_per_group, within_reach
 from remitgraph.sources import store
 
 D = "/root/testdata/sf0.001"
@@ -215,3 +215,25 @@ def test_staged_transactions_take_no_room_for_what_follows_from_them(spark, tmp_
     monkeypatch.setattr(build, "stage", lambda df, name: staged.setdefault(name, df))
     m.graph(spark, "/root/testdata/sf0.001", m.FOR_WRITING)
     assert set(staged) == {"base", "accounts"} and staged["base"].columns == build.ID_PARTS
+
+
+def test_within_reach_leaves_little_to_sort_and_loses_nothing(spark, rows):
+    at = F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10**9))).cast("timestamp_ntz")
+    many = spark.range(20000).select(
+        (F.col("id") % 3).cast("string").alias("name"), F.when(F.col("id") % 7 > 0, at).alias("timestamp"), "id")
+    few = spark.sql("SELECT 'few' AS name, CASE WHEN id % 2 = 0 THEN timestamp_ntz'2020-01-01 00:00:00' END AS timestamp, id FROM range(60)")
+    same = spark.sql("SELECT CAST(NULL AS string) AS name, timestamp_ntz'2020-01-01 00:00:00' AS timestamp, id FROM range(300)")
+    df = many.unionByName(few).unionByName(same)
+    near = within_reach(df, ["name"], "timestamp", 50)
+    order = [F.col("timestamp").asc_nulls_last(), F.col("id")]
+    assert rows(top_per_group(near, ["name"], order, 50)) == rows(top_per_group(df, ["name"], order, 50))
+    left = {r.name: r["count"] for r in near.groupBy("name").count().collect()}
+    assert left["few"] == 60 and left[None] == 300 and all(50 <= left[n] < 200 for n in "012")
+
+
+@pytest.mark.parametrize("evidence,stored", [
+    (requests.relationship_evidence, False), (requests.relationship_evidence, True), (requests.laundering_evidence, False)])
+def test_requests_sort_only_rows_within_reach(spark, graph, tmp_path, evidence, stored):
+    asked = store.write_graph(graph, str(tmp_path / "g"), buckets=4) if stored else graph
+    text = plan(evidence(asked, m.requests(spark, D)))
+    assert "_bound" in text
