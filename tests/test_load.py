@@ -85,3 +85,21 @@ def test_loading_nothing(spark, tmp_path):
     loaded = load.load_graph(incoming(spark), str(tmp_path / "none"))
     assert load.graph_counts(load.as_graph(loaded)).agg(F.sum("rows")).first()[0] == 0
     assert empty_graph(spark).transactions.isEmpty()
+
+
+def test_ids_are_shuffled_packed_and_once(spark, tmp_path, rows):
+    """Ids of any text come back as they were, and no shuffle carries them as text or twice."""
+    names = ["ab" * 32, "AB" * 32, "abc", "t-1"]
+    frames = incoming(spark, accounts=[("1|a", "a")], transactions=[(n, "", "1", "x", "1", "x", "W", "1") for n in names],
+                      sent=[("1|a", n) for n in [*names, names[0], "lost"]], received_by=[(n, "1|a") for n in names[:2]] + [(names[2], "9|x")])
+    loaded = load.load_graph(frames, str(tmp_path / "v1"))
+    back = load.as_graph(loaded).transactions
+    assert rows(back.select("transaction_id", "from_account_key", "to_account_key")) == sorted(
+        [(n, "1|a", "1|a" if n in names[:2] else None) for n in names], key=str)
+    upserted = load.upsert_nodes(None, load.typed_nodes("transactions", frames["transactions"]), "transaction_id")
+    merged = load.merge_edges(None, load.typed_edges("received_by", frames["received_by"]),
+                              *[load.node_keys(loaded, end, t) for end, t in (("transaction_id", "transactions"), ("account_key", "accounts"))])
+    for df in (back, upserted, merged):
+        assert "unhex(" in df._jdf.queryExecution().executedPlan().toString()
+    assert "named_struct(_, 0, transaction_id" not in upserted._jdf.queryExecution().optimizedPlan().toString()
+    assert upserted.columns == list(load.NODE_TYPES["transactions"])
