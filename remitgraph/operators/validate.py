@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
-from remitgraph.plans.staging import stage
+from remitgraph.plans.staging import packed, stage
 from remitgraph.plans.tables import EDGE_ENDS, NODE_KEYS, GraphTables
 
 
@@ -194,15 +194,17 @@ def missing_endpoints(graph: GraphTables) -> DataFrame:
     """Per edge type and side: edges whose node does not exist (a null end is missing).
 
     Edges are counted per end before the anti join, so an account with a third of all
-    transactions is one row by the time it is shuffled.
+    transactions is one row by the time it is shuffled. Nodes are never broadcast: what Spark takes for the
+    size of a staged table is that of its compressed files, without the ids that follow from its rows.
     """
     frames = []
     for table, (kind, ends) in EDGE_ENDS.items():
         for end, node_table in ends:
             _, key = NODE_KEYS[node_table]
-            nodes = getattr(graph, node_table).select(F.col(key).alias(end))
-            per_end = getattr(graph, table).groupBy(end).agg(F.count("*").alias("n"))
-            lost = per_end.join(nodes, end, "left_anti")
+            ids = [end] if node_table == "transactions" else []
+            nodes = packed(getattr(graph, node_table).select(F.col(key).alias(end)), *ids)
+            per_end = packed(getattr(graph, table).select(end), *ids).groupBy(end).agg(F.count("*").alias("n"))
+            lost = per_end.join(nodes.hint("merge"), end, "left_anti")
             frames.append(lost.agg(
                 F.lit(kind).alias("relationship_type"),
                 F.lit(node_table).alias("missing_node"),

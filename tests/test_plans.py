@@ -119,6 +119,14 @@ def test_edges_are_counted_before_the_anti_join(graph):
     assert text.count("partial_count(1)") >= 8
 
 
+def test_nodes_are_not_broadcast_to_look_for_missing_endpoints(graph):
+    """However small Spark takes them for; and ids are shuffled packed."""
+    text = plan(validate.missing_endpoints(graph))
+    anti = [line for line in text.splitlines() if "LeftAnti" in line]
+    assert len(anti) == 8 and all("SortMergeJoin" in line for line in anti)
+    assert "unhex(" in text
+
+
 @pytest.fixture
 def skewed(spark):
     """Tiny limits, so that a third of a few thousand rows on one key counts as skew."""
