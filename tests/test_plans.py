@@ -245,3 +245,12 @@ def test_requests_sort_only_rows_within_reach(spark, graph, tmp_path, evidence,
     asked = store.write_graph(graph, str(tmp_path / "g"), buckets=4) if stored else graph
     text = plan(evidence(asked, m.requests(spark, D)))
     assert "_bound" in text
+
+
+def test_ids_of_edges_are_computed_once(spark, graph):
+    """Not again in the filters of null ends and of the joins."""
+    nodes = spark.createDataFrame([("a",)], "account_key string"), spark.createDataFrame([("t",)], "transaction_id string")
+    merged = load.merge_edges(None, load.typed_edges("sent", graph.sent), *nodes)
+    assert plan(merged).count("sha2(") == 1
+    typed = load.typed_nodes("transactions", graph.transactions.withColumn(load.SEQ, F.lit(1)))
+    assert plan(load.upsert_nodes(None, typed, "transaction_id")).count("sha2(") == 1
