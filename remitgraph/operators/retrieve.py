@@ -50,17 +50,25 @@ def known_ends(graph: GraphTables) -> DataFrame:
     """Transactions with flags: whether each side has an owner and a bank, and whether two owners can be told apart.
 
     ``between_owners`` is false only for a transfer from an account to itself that has one owner.
+
+    Accounts of transactions that do not have a bank and one owner are found first, from the different accounts. The
+    transactions meet only these: as a rule few, and then no transaction is shuffled.
     """
     owned = owners(graph).select("account_key", "entity_id").distinct().groupBy("account_key").agg(
         (F.count("*") > 1).alias("several")).withColumn("owned", F.lit(True))
     banked = account_banks(graph).select("account_key").distinct().withColumn("banked", F.lit(True))
     known = owned.join(banked, "account_key", "full_outer")
     rows, columns = graph.transactions, graph.transactions.columns
+    used = rows.select(F.explode(F.array("from_account_key", "to_account_key")).alias("account_key")).distinct()
+    facts = {n: F.coalesce(n, F.lit(False)) for n in ("owned", "banked", "several")}
+    unusual = stage(used.dropna().join(known, "account_key", "left").withColumns(facts).filter(
+        ~F.col("owned") | ~F.col("banked") | F.col("several")), "unusual-accounts")
     for side in ("from", "to"):
-        facts = known.select(*[F.col(n).alias(f"_{side}_{n}") for n in known.columns])
-        rows = rows.join(facts, F.col(f"{side}_account_key") == F.col(f"_{side}_account_key"), "left")
+        found = unusual.select(*[F.col(n).alias(f"_{side}_{n}") for n in unusual.columns])
+        rows = rows.join(found, F.col(f"{side}_account_key") == F.col(f"_{side}_account_key"), "left")
     several = F.coalesce("_from_several", F.lit(False))
-    flags = {f"{side}_{n}": F.coalesce(f"_{side}_{n}", F.lit(False)) for side in ("from", "to") for n in ("owned", "banked")}
+    flags = {f"{side}_{n}": F.coalesce(f"_{side}_{n}", F.col(f"{side}_account_key").isNotNull())
+             for side in ("from", "to") for n in ("owned", "banked")}
     flags["between_owners"] = ~F.col("from_account_key").eqNullSafe(F.col("to_account_key")) | several
     return rows.select(*[n for n in columns if n not in flags], *[flag.alias(n) for n, flag in flags.items()])
 

@@ -254,3 +254,26 @@ def test_ids_of_edges_are_computed_once(spark, graph):
     assert plan(merged).count("sha2(") == 1
     typed = load.typed_nodes("transactions", graph.transactions.withColumn(load.SEQ, F.lit(1)))
     assert plan(load.upsert_nodes(None, typed, "transaction_id")).count("sha2(") == 1
+
+
+def test_transactions_with_usual_accounts_are_not_shuffled_for_what_is_known_of_them(spark, graph):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+    try:
+        text = plan(retrieve.known_ends(graph))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Join") >= 2 and "LeftOuter" in text
+    assert all("BroadcastHashJoin" in line for line in text.splitlines() if "LeftOuter" in line)
+
+
+def test_what_is_known_of_ends(spark, rows):
+    graph = hand_made(spark)
+    lost = graph.transactions.filter("transaction_id = 't01'").withColumns(
+        {"transaction_id": F.lit("t99"), "to_account_key": F.lit(None).cast("string")})
+    ends = retrieve.known_ends(graph.with_(transactions=graph.transactions.unionByName(lost)))
+    flags = ["from_owned", "to_owned", "from_banked", "to_banked", "between_owners"]
+    got = {r.transaction_id: tuple(r[f] for f in flags) for r in ends.collect()}
+    unusual = {"t04": (True,) * 5, "t05": (True,) * 4 + (False,), "t08": (True, True, True, False, True),
+               "t09": (False, True, False, True, True), "t11": (True,) * 4 + (False,), "t99": (True, False, True, False, True)}
+    assert got == {r.transaction_id: unusual.get(r.transaction_id, (True,) * 5) for r in ends.collect()}
