@@ -98,15 +98,20 @@ def relationship_evidence(
     """Both directions of every relationship request, each capped like a single question.
 
     Evidence depends on (sender name, receiver name) only: it is found and cut once for each such pair that
-    is asked about, then given to all requests that use it.
+    is asked about, then given to all requests that use it. What the cut leaves is found from accounts and times
+    first; whole transfers are joined only if they are among it.
     """
     uses = _pair_uses(requests)
     pairs = uses.select("from_name", "to_name").distinct()
     ends = asked_accounts(graph, requests) if accounts is None else accounts
-    hits = r.between(graph, ends).filter(r.distinct_ends()).join(
-        pairs, (F.col("sender_entity_name") == pairs.from_name) & (F.col("receiver_entity_name") == pairs.to_name))
-    order = r.time_order("sender_entity_id", "receiver_entity_id")
-    first = top_per_group(within_reach(hits, ["from_name", "to_name"], "timestamp", limit), ["from_name", "to_name"], order, limit)
+    group, order = ["from_name", "to_name"], r.time_order("sender_entity_id", "receiver_entity_id")
+
+    def hits(of: GraphTables) -> DataFrame:
+        return r.between(of, ends).filter(r.distinct_ends()).join(
+            pairs, (F.col("sender_entity_name") == pairs.from_name) & (F.col("receiver_entity_name") == pairs.to_name))
+
+    few = r.only_reached(graph, hits(graph), group, limit)
+    first = top_per_group(within_reach(hits(few), group, "timestamp", limit), group, order, limit)
     return first.join(uses, ["from_name", "to_name"]).select("request_id", *r.relationship_rows(F.col("forward")))
 
 

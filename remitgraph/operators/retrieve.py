@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitgraph.functions import columns as c
-from remitgraph.plans.staging import both_ways, stage, top_per_group, within_reach
+from remitgraph.plans.staging import both_ways, stage, staged, top_per_group, within_reach
 from remitgraph.plans.tables import OWNS, RECEIVED_BY, SENT, GraphTables
 
 MAX_ROWS = 50
@@ -269,8 +269,22 @@ def laundering_paths(graph: GraphTables, subjects: DataFrame, where: Column | No
     return found[0].unionByName(found[1])
 
 
-def attach_parties(graph: GraphTables, paths: DataFrame, few: bool = False) -> DataFrame:
-    """Add both banks and the owner of the other side; yields the result columns.
+def only_reached(graph: GraphTables, rows: DataFrame, group: list[str], limit: int) -> GraphTables:
+    """The graph with the transfers that may be among the first ``limit`` rows of a group by time, and few others.
+
+    ``rows`` are made of its transfers. What may be among the first is found from accounts and times alone, which
+    are staged; whole transfers, ids included, then meet what was found, as a rule so little that none is shuffled.
+    """
+    ends = ["from_account_key", "to_account_key", "timestamp"]
+    with staged(rows.select(*group, *ends), "narrow") as narrow:
+        near = within_reach(narrow, group, "timestamp", limit).select(*[F.col(n).alias(f"_{n}") for n in ends])
+        few = stage(near.distinct(), "reached")
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in ends])
+    return graph.with_(transactions=stage(graph.transactions.join(few, same, "left_semi"), "reached-transfers"))
+
+
+def attach_parties(graph: GraphTables, paths: DataFrame, few: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Add both banks and the owner of the other side; yields the result columns, and those to ``keep``.
 
     With ``few`` (a staged, small set of paths) the account lookups are first reduced to the
     accounts on the paths, by a semi join that only scans them: nothing of their size is shuffled.
@@ -282,9 +296,9 @@ def attach_parties(graph: GraphTables, paths: DataFrame, few: bool = False) -> D
         banks = banks.join(sides[0].unionByName(sides[1]), "account_key", "left_semi")
     other, bank, own_bank = prefixed(other, "other"), prefixed(banks, "bank"), prefixed(banks, "own")
     joined = (
-        paths.join(other, F.col("other_account") == F.col("other_account_key"))
+        paths.join(own_bank, F.col("subject_account") == F.col("own_account_key"))  # first: paths come by subject
+        .join(other, F.col("other_account") == F.col("other_account_key"))
         .join(bank, F.col("other_account") == F.col("bank_account_key"))
-        .join(own_bank, F.col("subject_account") == F.col("own_account_key"))
         .filter(~(
             (F.col("subject_account") == F.col("other_account"))
             & (F.col("subject_entity_id") == F.col("other_entity_id"))
@@ -298,7 +312,7 @@ def attach_parties(graph: GraphTables, paths: DataFrame, few: bool = False) -> D
         F.col("other_entity_id").alias("counterparty_id"),
         F.col("other_entity_name").alias("counterparty"),
         F.col("bank_bank_name").alias("counterparty_bank"),
-        "is_laundering",
+        "is_laundering", *keep,
     )
 
 
@@ -311,7 +325,8 @@ LAUNDERING_GROUP = ["searched_entity", "direction"]
 def first_laundering_rows(graph: GraphTables, subjects: DataFrame, limit: int, many: bool = False) -> DataFrame:
     """The first ``limit`` result rows per searched name and direction; exact.
 
-    With ``many`` names rows are cut to those that can be among them, by a pass more, before they are sorted.
+    With ``many`` names rows are cut to those that can be among them, by a pass more, before they are sorted; of a
+    graph that is not stored also before they are shuffled with all that belongs to them.
 
     A stored graph knows which transfers have both ends: each of their paths gives at least one row,
     and rows are in the order of their paths first. So the first ``limit`` paths of a group, equal
@@ -325,6 +340,13 @@ def first_laundering_rows(graph: GraphTables, subjects: DataFrame, limit: int, m
         paths = paths.withColumn("place", F.rank().over(first)).filter(F.col("place") <= limit).drop("place")
         rows = attach_parties(graph, stage(paths, "paths"), few=True)
     else:
+        if many:
+            own, other = F.col("subject_account"), F.col("other_account")
+            narrow = attach_parties(graph, laundering_paths(graph, subjects), keep=("subject_account", "other_account"))
+            outgoing = F.col("direction") == OUTGOING
+            graph = only_reached(graph, narrow.withColumns({
+                "from_account_key": F.when(outgoing, own).otherwise(other),
+                "to_account_key": F.when(outgoing, other).otherwise(own)}), LAUNDERING_GROUP, limit)
         rows = attach_parties(graph, laundering_paths(graph, subjects))
         if many:
             rows = within_reach(rows, LAUNDERING_GROUP, "timestamp", limit)

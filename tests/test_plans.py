@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import mapping as m
 from remitgraph.operators import build, load, requests, retrieve, validate
-from remitgraph.plans.staging import shared_folder, stage, top_per_group, within_reach
+from remitgraph.plans.staging import shared_folder, stage, staged, top_per_group, within_reach
 from remitgraph.sources import store
 
 D = "/root/testdata/sf0.001"
@@ -247,6 +247,19 @@ def test_requests_sort_only_rows_within_reach(spark, graph, tmp_path, evidence,
     assert "_bound" in text
 
 
+@pytest.mark.parametrize("evidence", [requests.relationship_evidence, requests.laundering_evidence])
+def test_what_requests_reach_is_found_without_ids(spark, graph, monkeypatch, evidence):
+    """Accounts and times are shuffled; whole transfers meet the few that these leave."""
+    seen = {}
+    monkeypatch.setattr(retrieve, "staged", lambda df, name: seen.setdefault(name, df) and None or staged(df, name))
+    few = {}
+    monkeypatch.setattr(retrieve, "stage", lambda df, name: few.setdefault(name, stage(df, name)))
+    evidence(graph, m.requests(spark, D))
+    assert "sha2(" not in plan(seen["narrow"]) and "transaction_id" not in seen["narrow"].columns
+    assert 0 < few["reached-transfers"].count() <= graph.transactions.count()
+    assert few["reached-transfers"].columns == graph.transactions.columns
+
+
 def test_ids_of_edges_are_computed_once(spark, graph):
     """Not again in the filters of null ends and of the joins."""
     nodes = spark.createDataFrame([("a",)], "account_key string"), spark.createDataFrame([("t",)], "transaction_id string")
