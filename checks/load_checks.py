@@ -327,9 +327,9 @@ def s6(spark, d):
     return files.read_text_table(spark, path)
 
 
-def bundle(spark, d):
+def bundle(spark, d, compression=None):
     graph = m.graph(spark, d, m.FOR_WRITING)
-    return graph, export.write_export(graph, fresh_folder(spark), "v2")
+    return graph, export.write_export(graph, fresh_folder(spark), "v2", compression=compression)
 
 
 @check("s7_export_bundle", GRAPH + " UNION ALL ".join(
@@ -337,7 +337,7 @@ def bundle(spark, d):
     f"FROM ({sql})" for t, sql in EXPORT_SQL.items()))
 def s7(spark, d):
     """Also the reconciliation of a written bundle with its source."""
-    graph, folder = bundle(spark, d)
+    graph, folder = bundle(spark, d, "gzip")
     expected = export.export_frames(graph, order=None)
     return export.export_validation(export.read_export(spark, folder), expected).drop("columns")
 
@@ -383,7 +383,7 @@ SELECT transaction_id, "timestamp", amount_received, receiving_currency, amount_
        payment_format, is_laundering FROM tx""")
 def s10(spark, d):
     """Written as CSV, read as text, converted on the way in."""
-    _, folder = bundle(spark, d)
+    _, folder = bundle(spark, d, "gzip")
     rows = load.with_sequence(export.read_export(spark, folder)["transactions"], 1)
     return load.upsert_nodes(None, load.typed_nodes("transactions", rows), "transaction_id")
 

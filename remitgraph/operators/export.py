@@ -54,12 +54,16 @@ def export_frames(graph: GraphTables, order: str | None = "global") -> dict[str,
 
 def write_export(
     graph: GraphTables, out: str, version: str, fmt: str = "csv",
-    order: str | None = "files",
+    order: str | None = "files", compression: str | None = None,
 ) -> str:
-    """Write the bundle below ``out/version``, one directory per table; returns that folder."""
+    """Write the bundle below ``out/version``, one directory per table; returns that folder.
+
+    ``compression`` is that of the files (``"gzip"``: ``part-*.csv.gz``), which are read back alike. Ids in plain
+    text take most of a bundle, and half of their room is saved.
+    """
     folder = f"{out.rstrip('/')}/{version}"
     for table, df in export_frames(graph, order).items():
-        write_table(df, f"{folder}/{table}", fmt)
+        write_table(df, f"{folder}/{table}", fmt, compression)
     return folder
 
 

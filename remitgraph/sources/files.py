@@ -52,9 +52,11 @@ def copy_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return list_files(spark, folder).filter(~hidden).select("file_name", "file_size")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", compression: str | None = None) -> None:
     """One directory, one file per task; null and empty text are both blank in CSV."""
     writer = df.write.mode("overwrite")
+    if compression:
+        writer.option("compression", compression)
     if fmt == "csv":
         writer.options(**CSV_OPTIONS).csv(path)
     else:

@@ -61,6 +61,16 @@ def test_bundle_and_reconciliation(spark, tmp_path):
         validate.require_same_files(manifest, manifest.filter("file_name not like 'sent/%'"))
 
 
+def test_a_compressed_bundle_holds_the_same(spark, tmp_path, rows):
+    graph = hand_made(spark)
+    plain, small = (export.write_export(graph, str(tmp_path), v, compression=c) for v, c in (("v2", None), ("v3", "gzip")))
+    assert {f.rsplit(".", 2)[-2] + "." + f.rsplit(".", 1)[-1] for f in glob.glob(f"{small}/*/part-*")} == {"csv.gz"}
+    assert all(f.endswith(".csv") for f in glob.glob(f"{plain}/*/part-*"))
+    text = export.read_export(spark, small)
+    for table, df in export.read_export(spark, plain).items():
+        assert rows(text[table]) == rows(df), table
+
+
 def test_copies_are_stored_once(spark, tmp_path, rows):
     graph = hand_made(spark)
     twice = graph.with_(transactions=graph.transactions.union(graph.transactions), sent=graph.sent.union(graph.sent),
